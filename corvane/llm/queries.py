@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, substr
+from . import langid, packing, quality, substr, tokens, urls
 from .neardup import near_duplicates
 
+#: The rules of the registered URL query: (verdict, host, path).
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+#: Globs on the host for URLs without a rule.
+URL_BLOCKED = [f"*{word}*{urls.SEP}**" for word in ("casino", "pills", "bets", "spam", "ads-", "porn", "malware")]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -38,6 +44,27 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substr.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_BLOCKED)
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
@@ -69,3 +96,15 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(m.component_i
   s.doc_id = coalesce(m.component_id, s.doc_id) AS kept
 FROM s LEFT JOIN c ON c.sh = s.sh LEFT JOIN m ON m.node = c.node
 """
+
+
+_HOST = "CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
+_PATH = "CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
+_RULE = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{{i}}}'" for i, (_, h, p) in sorted(enumerate(URL_RULES), key=lambda r: -len(r[1][1] + r[1][2])))
+ORACLE["op5_url_filters"] = f"""
+WITH u AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages)
+SELECT page_id, host, path, CASE {_RULE.format(*(h + p for _, h, p in URL_RULES))} END AS rule,
+  CASE {_RULE.format(*(v for v, _, _ in URL_RULES))}
+    WHEN {" OR ".join(f"contains(host, '{g[1:g.index(urls.SEP) - 1]}')" for g in URL_BLOCKED)} THEN 'block' ELSE 'allow' END AS verdict
+FROM u
+"""

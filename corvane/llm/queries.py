@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, packing, quality, substr, tokens, urls
+from . import decontam, langid, packing, quality, substr, tokens, urls
 from .neardup import near_duplicates
 
 #: The rules of the registered URL query: (verdict, host, path).
@@ -31,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -108,3 +113,15 @@ SELECT page_id, host, path, CASE {_RULE.format(*(h + p for _, h, p in URL_RULES)
     WHEN {" OR ".join(f"contains(host, '{g[1:g.index(urls.SEP) - 1]}')" for g in URL_BLOCKED)} THEN 'block' ELSE 'allow' END AS verdict
 FROM u
 """
+
+_SPLIT = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: w <> '')"
+_FIVES = "CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END"
+ORACLE["op1_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_SPLIT.format("text")} AS ws FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, {_SPLIT.format("text")} AS ws FROM benchmark WHERE text IS NOT NULL),
+ds AS (SELECT doc_id, unnest({_FIVES}) AS x FROM d WHERE len(ws) > 0),
+bs AS (SELECT item_id, {_FIVES} AS s FROM b WHERE len(ws) > 0),
+bx AS (SELECT item_id, len(s) AS n_item, unnest(s) AS x FROM bs)
+SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, CAST(count(*) AS BIGINT) AS n_common
+FROM ds JOIN bx USING (x) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, langid, packing, quality, substr, tokens, urls
+from . import decontam, html_extract, langid, packing, quality, substr, tokens, urls
 from .neardup import near_duplicates
 
 #: The rules of the registered URL query: (verdict, host, path).
@@ -49,6 +49,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substr.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

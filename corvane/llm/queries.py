@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, html_extract, langid, packing, quality, substr, tokens, urls
+from . import decontam, html_extract, langid, packing, quality, substr, tokens, urls, warc
 from .neardup import near_duplicates
+from .scratch import Scratch
 
 #: The rules of the registered URL query: (verdict, host, path).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -75,6 +76,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = warc.write_archives(table(spark, sf_dir, "pages"), Scratch(spark, "archives").root)
+    return warc.read_captures(shards)
+
+
 @query
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
@@ -130,3 +137,13 @@ bx AS (SELECT item_id, len(s) AS n_item, unnest(s) AS x FROM bs)
 SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, CAST(count(*) AS BIGINT) AS n_common
 FROM ds JOIN bx USING (x) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
 """
+
+ORACLE["op8_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS last FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM m
+"""

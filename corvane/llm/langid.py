@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 ORDER = 3
 #: Bounds of the labelled sample that the trees are fitted on, whatever the input's size.
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, *, order: int = ORDER, sample_per_lang: int = SAMPLE_PE
     return (order, langs, rows["k"].to_numpy(), rows["gram"].to_numpy(), rows["lang"].map(number).to_numpy(), rows["n"].to_numpy())
 
 
-def _predict(model: tuple | None):
+def _predict(model: tuple | None, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = ContextTrees(*model) if model else None
         for batch in batches:
@@ -151,7 +151,7 @@ def _predict(model: tuple | None):
                 if trees and part:
                     bits = trees.bits([t for _, t in part])
                     best = bits.argmin(axis=1)
-                    # the posterior of the best language over code lengths per byte, flat priors, tempered by length
+                    # the posterior of the best language with flat priors, its evidence tempered by the text's length
                     gap = (bits - bits.min(axis=1, keepdims=True)) / np.sqrt([[len(t)] for _, t in part])
                     p = 1 / np.exp2(-gap).sum(axis=1)
                     for (i, _), b, s in zip(part, best, p, strict=True):
@@ -159,7 +159,7 @@ def _predict(model: tuple | None):
                 part.clear()
 
             size = 0
-            for i, t in enumerate(batch.column(1)):
+            for i, t in enumerate(batch.column(text_at)):
                 data = letters(t.as_py())
                 if data:
                     part.append((i, data))
@@ -168,16 +168,17 @@ def _predict(model: tuple | None):
                     flush()
                     size = 0
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     return run
 
 
-def predict(docs: DataFrame, model: tuple | None) -> DataFrame:
-    """(doc_id, lang_pred, score) for each row: the language with the shortest code for the whole text.
+def predict(docs: DataFrame, model: tuple | None, *, carry: list[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` with lang_pred and score for each row: the language with the shortest code for the whole text.
 
     ``und`` with score 0 for null texts and texts without a letter, and for all if no row was
-    labelled. Rows repeat as they do in the input; other columns are ignored.
+    labelled. Rows repeat as they do in the input. ``carry`` may not hold lang_pred or score.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_predict(model), f"doc_id {kind}, lang_pred string, score double")
+    given = docs.select(*carry, F.col("text").cast("string").alias("__text"))
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return given.mapInArrow(_predict(model, len(given.columns) - 1), schema)

@@ -1,14 +1,601 @@
-"""Registered queries and their DuckDB SQL."""
+"""Registered queries and their DuckDB SQL, over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from .functions import checks as C, text as T
+from .operators import chunking, doctypes, evaluate, match, privacy, rag, ranking, retrieval, state, versions
+from .plans import search as S
+from .sources import sinks
+from .sources.corpus import document_files, table
+from .settings import SEARCH
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return register
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return search_flagship(spark, sf_dir)
+
+
+# SQL fragments
+STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+FILES = "files AS (SELECT doc_id, '/corpus/' || source || '/doc_' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.txt' AS path, source AS project, '.txt' AS ext, 'doc' AS kind, 1704067200 + 60 * doc_id AS mtime, text FROM documents)"
+
+
+def sql_words(x: str) -> str:
+    return rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+')"
+
+
+def sql_terms(x: str) -> str:
+    return f"list_filter({sql_words(x)}, lambda w: length(w) >= 3 AND NOT list_contains({STOP}, w))"
+
+
+def sql_stem(w: str) -> str:
+    whens = " ".join(f"WHEN ends_with({w}, '{s}') AND length({w}) >= {len(s) + 3} THEN substr({w}, 1, length({w}) - {len(s)}) || '{n}'" for s, n in T.SUFFIXES)
+    return f"CASE {whens} ELSE {w} END"
+
+
+def sql_body(x: str) -> str:
+    return f"CASE WHEN instr({x}, chr(10)) > 0 THEN substr({x}, instr({x}, chr(10)) + 1) ELSE {x} END"
+
+
+def sql_name_words(path: str) -> str:
+    base = rf"regexp_replace(list_extract(string_split_regex({path}, '[\\/]'), -1), '(.)\.[^.]*$', '\1')"
+    return rf"trim(lower(regexp_replace(regexp_replace({base}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_\-.]+', ' ', 'g')))"
+
+
+# ------------------------------------------------------------------ scalar functions
+@query(rf"""
+WITH {FILES}, b AS (SELECT *, {sql_body("text")} AS body FROM files)
+SELECT doc_id, CAST(length(regexp_replace(body, '[^\p{{L}}\p{{N}}]', '', 'g')) AS INTEGER) AS content_chars,
+  lower(list_extract(string_split_regex(path, '[\\/]'), -1)) AS name, {sql_name_words("path")} AS name_words,
+  md5({sql_name_words("path")} || chr(10) || body) AS search_text
+FROM b""")
+def search_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, body = document_files(spark, sf_dir), T.body(F.col("text"))
+    return f.select("doc_id", T.content_chars(body).alias("content_chars"), T.file_name(F.col("path")).alias("name"), T.name_words(F.col("path")).alias("name_words"), F.md5(T.search_text(F.col("path"), body)).alias("search_text"))
+
+
+@query(rf"""
+SELECT item_id, array_to_string({sql_terms("text")}, ' ') AS terms,
+  array_to_string(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), ' ') AS fts,
+  array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9+#]{{3,}}'))), ' ') AS keywords,
+  CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens
+FROM benchmark""")
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.query_terms(text), " ").alias("terms"), T.full_text_terms(text).alias("fts"), F.array_join(F.array_sort(T.keyword_query(text)), " ").alias("keywords"), T.estimate_tokens(text).alias("tokens"))
+
+
+@query(f"""
+WITH n AS (SELECT count(*) AS n FROM benchmark),
+d AS (SELECT doc_id, doc_id % n AS item_id, list_distinct(list_transform({sql_words("text")}, lambda w: {sql_stem("w")})) AS present FROM documents, n),
+b AS (SELECT item_id, {sql_terms("text")} AS terms FROM benchmark)
+SELECT doc_id, item_id, round(CASE WHEN len(terms) = 0 THEN 0.0 ELSE CAST(len(list_filter(terms, lambda t: list_contains(present, {sql_stem("t")}))) AS DOUBLE) / len(terms) END, 6) AS coverage
+FROM d JOIN b USING (item_id)""")
+def term_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+    size = items.agg(F.count(F.lit(1)).alias("n"))
+    docs = table(spark, sf_dir, "documents").join(F.broadcast(size)).withColumn("item_id", F.col("doc_id") % F.col("n"))  # one row
+    return docs.join(items, "item_id").select("doc_id", "item_id", F.round(T.term_coverage(T.query_terms(F.col("query")), F.col("text")), 6).alias("coverage"))
+
+
+_NAME = "'/corpus/' || source || '/' || lang || 'WeeklyReport_' || CAST(doc_id % 50 AS VARCHAR) || '.v2.txt'"
+
+
+@query(rf"""
+WITH p AS (SELECT doc_id, {_NAME} AS path, CASE doc_id % 4 WHEN 0 THEN 'weekly reports' WHEN 1 THEN 'weekly invoice txt' WHEN 2 THEN lang || 'weeklyreport_' || CAST(doc_id % 50 AS VARCHAR) || '.v2' ELSE 'txt' END AS q FROM documents),
+t AS (SELECT *, lower(list_extract(string_split(path, '/'), -1)) AS name, list_filter({sql_terms("q")}, lambda t: t <> 'txt') AS terms, string_split({sql_name_words("path")}, ' ') AS toks FROM p),
+e AS (SELECT *, q = name OR q = regexp_replace(name, '\.[^.]*$', '') AS exact FROM t)
+SELECT doc_id, exact, round(CASE WHEN exact THEN 1.0 WHEN len(terms) = 0 THEN 0.0 ELSE
+  CAST(len(list_filter(terms, lambda t: len(list_filter(toks, lambda w: w = t OR (least(length(w), length(t)) >= 4 AND regexp_replace(w, 's$', '') = regexp_replace(t, 's$', '')))) > 0)) AS DOUBLE) / len(terms) END, 6) AS share
+FROM e""")
+def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = (F.col("doc_id") % 50).cast("string")
+    path = F.concat(F.lit("/corpus/"), "source", F.lit("/"), "lang", F.lit("WeeklyReport_"), number, F.lit(".v2.txt"))
+    kind = F.col("doc_id") % 4
+    q = F.when(kind == 0, "weekly reports").when(kind == 1, "weekly invoice txt").when(kind == 2, F.concat("lang", F.lit("weeklyreport_"), number, F.lit(".v2"))).otherwise("txt")
+    named = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), q.alias("q"))
+    return named.select("doc_id", T.name_exact(F.col("path"), F.col("q")).alias("exact"), F.round(T.name_share(F.col("path"), F.col("q")), 6).alias("share"))
+
+
+@query(f"""
+WITH {FILES} SELECT doc_id, path, 'the plan' AS rest FROM files
+WHERE (kind = 'doc' OR ext = '.pdf') AND ext = '.txt' AND lower(project) = 'src3' AND starts_with(lower(path), '/corpus/src3/') AND mtime >= 1704067200 AND mtime < 1735689600""")
+def filter_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest, where = S.parse_filters("the type:doc,pdf ext:TXT proj:SRC3 plan in:/corpus/src3/ after:2024-01-01 before:2025 after:nonsense")
+    return document_files(spark, sf_dir).withColumn("source", F.lit("")).where(where).select("doc_id", "path", F.lit(rest).alias("rest"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, text, unnest(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS raw FROM documents),
+b AS (SELECT doc_id, text, regexp_replace(regexp_replace(raw, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', '') AS w FROM t),
+l AS (SELECT doc_id, text, w, regexp_replace(w, '[^\p{L}]', '', 'g') AS s FROM b),
+k AS (SELECT doc_id, text, CASE WHEN w = '' THEN 'junk'
+  WHEN regexp_matches(w, '^[0-9.,:/$€£%+\-]+$') AND length(regexp_replace(w, '[^0-9]', '', 'g')) >= 2 THEN 'number'
+  WHEN length(s) >= 2 AND regexp_matches(s, '[aeiouyAEIOUY]|[^\x00-\x7F]') AND (length(s) < 3 OR list_max(list_transform(list_distinct(string_split(s, '')), lambda c: length(s) - length(replace(s, c, '')))) / CAST(length(s) AS DOUBLE) < 0.6) THEN 'word'
+  ELSE 'junk' END AS kind FROM l),
+g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'word') AS words, count(*) FILTER (WHERE kind = 'junk') AS junk, count(*) FILTER (WHERE kind = 'number') AS numbers FROM k GROUP BY doc_id),
+q AS (SELECT d.doc_id, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS chars, CASE WHEN coalesce(words + junk, 0) = 0 THEN CASE WHEN coalesce(numbers, 0) > 0 THEN 1.0 ELSE 0.0 END ELSE CAST(words AS DOUBLE) / (words + junk) END AS quality FROM documents d LEFT JOIN g USING (doc_id))
+SELECT doc_id, round(quality, 6) AS quality, chars < 40 OR quality < 0.5 AS low_content FROM q""")
+def low_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", T.ocr_quality(F.col("text")).alias("q"))
+    return docs.select("doc_id", F.round("q", 6).alias("quality"), ((T.content_chars(F.col("text")) < 40) | (F.col("q") < 0.5)).alias("low_content"))
+
+
+@query("""
+WITH h AS (SELECT page_id, html, string_split(html, chr(10)) AS lines FROM pages)
+SELECT page_id, html <> '' AND (regexp_matches(lower(array_to_string(lines[1:5], chr(10))), '@generated|do not edit|autogenerated|auto-generated') OR CAST(length(html) AS DOUBLE) / len(lines) > 300) AS generated FROM h""")
+def looks_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.looks_generated(F.col("html")).alias("generated"))
+
+
+@query(r"""
+WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+k AS (SELECT source, doc_id, regexp_replace(trim(regexp_replace(lower(line), '\s+', ' ', 'g')), '[0-9]+', '#', 'g') AS key FROM l),
+n AS (SELECT source, count(DISTINCT doc_id) AS pages FROM k GROUP BY source)
+SELECT source, key, count(DISTINCT doc_id) AS on_pages FROM k JOIN n USING (source) WHERE key <> '' GROUP BY source, key, pages HAVING count(DISTINCT doc_id) >= greatest(2, 0.02 * pages)""")
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line")).select("source", "doc_id", T.line_key(F.col("line")).alias("key"))
+    pages = lines.groupBy("source").agg(F.countDistinct("doc_id").alias("pages"))
+    # one row per page and key first, so that a frequent line is counted, not shuffled
+    on = lines.where("key <> ''").groupBy("source", "key", "doc_id").agg(F.lit(1)).groupBy("source", "key").agg(F.count(F.lit(1)).alias("on_pages"))
+    return on.join(pages, "source").where(F.col("on_pages") >= F.greatest(F.lit(2), 0.02 * F.col("pages"))).select("source", "key", "on_pages")
+
+
+# ------------------------------------------------------------------ checks
+@query("""
+WITH n AS (SELECT o_orderkey, CAST(4000000000000000 + o_orderkey * 97 AS VARCHAR) AS card, lpad(CAST(o_orderkey * 7919 % 1000000000 AS VARCHAR), 9, '0') AS routing FROM orders),
+d AS (SELECT *, list_transform(range(1, 17), lambda i: CAST(card[17 - i] AS INTEGER) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)) AS v, list_transform(range(1, 10), lambda i: CAST(routing[i] AS INTEGER) * ([3, 7, 1, 3, 7, 1, 3, 7, 1])[i]) AS w FROM n)
+SELECT o_orderkey, list_sum(list_transform(v, lambda x: CASE WHEN x > 9 THEN x - 9 ELSE x END)) % 10 = 0 AS luhn, list_sum(w) % 10 = 0 AS aba FROM d""")
+def check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    card, routing = (F.lit(4000000000000000) + key * 97).cast("string"), F.lpad((key * 7919 % 1000000000).cast("string"), 9, "0")
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.luhn(card).alias("luhn"), C.aba(routing).alias("aba"))
+
+
+_D = "[" + ", ".join("[" + ", ".join(r) + "]" for r in C.VERHOEFF_D) + "]"
+_P = "[" + ", ".join("[" + ", ".join(r) + "]" for r in C.VERHOEFF_P) + "]"
+
+
+@query(f"""
+WITH n AS (SELECT c_custkey, CAST(200000000000 + c_custkey * 7919 AS VARCHAR) AS uid, 'GB' || lpad(CAST(c_custkey % 98 AS VARCHAR), 2, '0') || 'WEST' || lpad(CAST(c_custkey AS VARCHAR), 14, '0') AS iban FROM customer),
+d AS (SELECT *, list_transform(range(0, 12), lambda i: ({_P})[i % 8 + 1][CAST(uid[12 - i] AS INTEGER) + 1]) AS p,
+  list_transform(string_split(substr(iban, 5) || substr(iban, 1, 4), ''), lambda c: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1) AS v FROM n)
+SELECT c_custkey, list_reduce(list_prepend(0, p), lambda c, x: ({_D})[c + 1][x + 1]) = 0 AS verhoeff,
+  list_reduce(list_prepend(CAST(0 AS BIGINT), v), lambda r, x: (r * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1 AS iban FROM d""")
+def check_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    uid = (F.lit(200000000000) + key * 7919).cast("string")
+    iban = F.concat(F.lit("GB"), F.lpad((key % 98).cast("string"), 2, "0"), F.lit("WEST"), F.lpad(key.cast("string"), 14, "0"))
+    return table(spark, sf_dir, "customer").select("c_custkey", C.verhoeff(uid).alias("verhoeff"), C.iban(iban).alias("iban"))
+
+
+@query(f"""SELECT doc_id, md5(regexp_replace(text, '{"|".join(privacy.CREDENTIALS)}', '[SECRET REMOVED]', 'g')) AS clean FROM documents""")
+def strip_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(privacy.strip_credentials(F.col("text"))).alias("clean"))
+
+
+@query()
+def detect_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.findings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.explode("findings").alias("f")).groupBy("doc_id", F.col("f.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(privacy.findings(docs), "doc_id").select("doc_id", privacy.mask(F.col("text"), F.col("findings")).alias("masked"))
+
+
+# ------------------------------------------------------------------ retrieval and ranking
+@query("""
+WITH p AS (SELECT a.vec_id AS qid, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT * FROM r WHERE rank <= 10""")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return retrieval.nearest(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), v, 10)
+
+
+def sql_slots(name: str, source: str, key: str, text: str) -> str:
+    return f"{name} AS (SELECT {key}, CAST(CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS INTEGER) AS slot, count(*) AS n FROM (SELECT {key}, unnest({sql_words(text)}) AS w FROM {source}) GROUP BY 1, 2)"
+
+
+_LEGS = f"""
+{sql_slots("ds", "documents", "doc_id", "text")}, {sql_slots("qs", "(SELECT item_id AS qid, text FROM benchmark)", "qid", "text")},
+dn AS (SELECT doc_id, sqrt(CAST(sum(n * n) AS DOUBLE)) AS b FROM ds GROUP BY 1), qn AS (SELECT qid, sqrt(CAST(sum(n * n) AS DOUBLE)) AS a FROM qs GROUP BY 1),
+dot AS (SELECT qid, doc_id, CAST(sum(qs.n * ds.n) AS DOUBLE) AS dot FROM qs JOIN ds USING (slot) GROUP BY 1, 2),
+v0 AS (SELECT qid, doc_id, round(dot / (a * b), 6) AS similarity FROM dot JOIN qn USING (qid) JOIN dn USING (doc_id)),
+v AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, doc_id) AS INTEGER) AS vector_rank FROM v0) WHERE vector_rank <= 60),
+dt AS (SELECT doc_id, {sql_stem("w")} AS term FROM (SELECT doc_id, unnest({sql_terms("text")}) AS w FROM documents)),
+qt AS (SELECT DISTINCT qid, {sql_stem("w")} AS term FROM (SELECT item_id AS qid, unnest({sql_terms("text")}) AS w FROM benchmark)),
+tf AS (SELECT term, doc_id, count(*) AS tf FROM dt GROUP BY 1, 2), dl AS (SELECT doc_id, count(*) AS dl FROM dt GROUP BY 1),
+sz AS (SELECT count(*) AS docs, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+k0 AS (SELECT qid, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS bm25 FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), sz GROUP BY 1, 2),
+k AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, doc_id) AS INTEGER) AS keyword_rank FROM k0) WHERE keyword_rank <= 60),
+m AS (SELECT qid, doc_id, similarity, bm25, vector_rank, keyword_rank, max(coalesce(bm25, 0)) OVER (PARTITION BY qid) AS best FROM v FULL JOIN k USING (qid, doc_id)),
+f AS (SELECT qid, doc_id, round(0.7 * coalesce(least(1.0, greatest(0.0, similarity)), 0.0) + 0.3 * CASE WHEN best > 0 THEN coalesce(bm25, 0.0) / best ELSE 0.0 END, 8) AS score, similarity, bm25, vector_rank, keyword_rank FROM m)"""
+
+
+def _legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    text = F.col("text")
+    vector = retrieval.vector_leg(retrieval.slots(items, "qid", F.col("query")), retrieval.slots(docs, "doc_id", text), SEARCH.candidates)
+    terms = items.select("qid", F.explode(T.query_terms(F.col("query"))).alias("w")).select("qid", T.stem(F.col("w")).alias("term"))
+    return vector, retrieval.bm25_leg(terms, retrieval.postings(docs, "doc_id", text), SEARCH.candidates)
+
+
+@query(f"WITH {_LEGS} SELECT qid, doc_id, bm25, keyword_rank FROM k")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _legs(spark, sf_dir)[1]
+
+
+@query(f"WITH {_LEGS} SELECT * FROM f")
+def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.fuse(*_legs(spark, sf_dir))
+
+
+_COVER = f"CASE WHEN len(terms) = 0 THEN 0.0 ELSE CAST(len(list_filter(terms, lambda t: list_contains(present, {sql_stem('t')}))) AS DOUBLE) / len(terms) END"
+
+
+@query(f"""
+WITH {FILES}, {_LEGS},
+c AS (SELECT f.qid, files.path, f.score, f.similarity, CASE WHEN f.bm25 IS NOT NULL THEN round({_COVER}, 6) END AS coverage
+  FROM f JOIN (SELECT *, list_distinct(list_transform({sql_words("text")}, lambda w: {sql_stem("w")})) AS present FROM files) files USING (doc_id) JOIN (SELECT item_id AS qid, {sql_terms("text")} AS terms FROM benchmark) b USING (qid)),
+e AS (SELECT qid, path, max(score) AS best, max(similarity) AS similarity, max(coalesce(coverage, 0.0)) AS coverage FROM c GROUP BY 1, 2),
+s AS (SELECT *, round(best, 8) AS score, coverage >= 0.5 OR coalesce(similarity >= 0.6, false) AS vouched FROM e),
+w AS (SELECT *, NOT vouched OR score < 0.5 * coalesce(max(score) FILTER (WHERE vouched) OVER (PARTITION BY qid), 0.0) AS weak FROM s),
+r AS (SELECT qid, path, score, weak, CAST(row_number() OVER d AS INTEGER) AS position, min(CAST(round_even(100 * least(score, 1.0), 0) AS INTEGER)) OVER (d ROWS UNBOUNDED PRECEDING) AS relevance FROM w WINDOW d AS (PARTITION BY qid ORDER BY weak, score DESC, path))
+SELECT * FROM r WHERE position <= 25""".replace("coalesce(least(1.0, greatest(0.0, similarity)), 0.0)", "coalesce(least(1.0, greatest(0.0, (similarity - 0.6) / 0.4)), 0.0)"))
+def search_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search for every benchmark item; no file name of the corpus answers one, so names add nothing here."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return S.search(document_files(spark, sf_dir), queries, floor=0.6)
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS qid, 'f' || CAST(l_suppkey % 5 AS VARCHAR) AS path, l_discount AS score, CASE WHEN l_linenumber % 3 <> 0 THEN l_tax END AS similarity, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity / 50 END AS coverage FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY score DESC) AS n FROM c)
+SELECT qid, path, greatest(coalesce(max(score) FILTER (WHERE n = 1), 0.0), 0.0) AS best, greatest(coalesce(max(score) FILTER (WHERE n = 2), 0.0), 0.0) AS second, max(similarity) AS similarity, max(coalesce(coverage, 0.0)) AS coverage, count(*) AS chunks FROM r GROUP BY qid, path""")
+def file_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.file_evidence(_chunks_of_lines(spark, sf_dir))
+
+
+def _chunks_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qid"), F.concat(F.lit("f"), (F.col("l_suppkey") % 5).cast("string")).alias("path"), F.col("l_discount").alias("score"), F.when(line % 3 != 0, F.col("l_tax")).alias("similarity"), F.when(line % 2 == 0, F.col("l_quantity") / 50).alias("coverage"))
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS qid, 'f' || CAST(l_suppkey % 5 AS VARCHAR) AS path, l_discount AS score, CASE WHEN l_linenumber % 3 <> 0 THEN l_tax END AS similarity, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity / 50 END AS coverage FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY score DESC) AS n FROM c),
+e AS (SELECT qid, path, coalesce(max(score) FILTER (WHERE n = 1), 0.0) AS best, coalesce(max(score) FILTER (WHERE n = 2), 0.0) AS second, max(similarity) AS similarity, max(coalesce(coverage, 0.0)) AS coverage FROM n GROUP BY qid, path),
+s AS (SELECT *, round((best + 0.15 * second + 0.5 * (CASE WHEN path = 'f1' THEN 0.5 ELSE 0.0 END) + CASE WHEN path = 'f2' THEN 1.0 ELSE 0.0 END) * CASE WHEN path = 'f3' THEN 1.15 ELSE 1.0 END, 8) AS score FROM e),
+v AS (SELECT *, coalesce(similarity >= 0.04, false) OR coverage >= 0.5 OR path = 'f1' AS vouched FROM s),
+w AS (SELECT *, NOT vouched OR score < 0.5 * coalesce(max(score) FILTER (WHERE vouched) OVER (PARTITION BY qid), 0.0) AS weak FROM v)
+SELECT qid, path, score, weak, CAST(row_number() OVER d AS INTEGER) AS position, min(CAST(round_even(100 * least(score, 1.0), 0) AS INTEGER)) OVER (d ROWS UNBOUNDED PRECEDING) AS relevance FROM w WINDOW d AS (PARTITION BY qid ORDER BY weak, score DESC, path)""")
+def rank_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    files = ranking.file_evidence(_chunks_of_lines(spark, sf_dir)).withColumn("share", F.when(path == "f1", 0.5).otherwise(0.0)).withColumn("exact", path == "f2").withColumn("in_project", path == "f3")
+    return ranking.rank_files(files, 0.04)
+
+
+# ------------------------------------------------------------------ windows, state and budgets
+@query("""
+SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events) WHERE n = 1""")
+def newest_per_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
+    return table(spark, sf_dir, "events").withColumn("n", F.row_number().over(newest)).where("n = 1").select("user_id", "event_id", "event_type")
+
+
+@query("""
+WITH h AS (SELECT doc_id, md5(concat_ws(chr(1), 'doc', '', text)) AS hash FROM documents), stored AS (SELECT DISTINCT hash FROM h WHERE doc_id % 2 = 0),
+n AS (SELECT hash, count(*) AS copies, min(doc_id) AS first_doc FROM h WHERE doc_id % 2 = 1 GROUP BY hash)
+SELECT n.hash, copies, first_doc, s.hash IS NOT NULL AS reused FROM n LEFT JOIN stored s USING (hash)""")
+def embedding_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.lit("doc"), F.lit(""), F.col("text")).alias("hash"))
+    stored = hashed.where("doc_id % 2 = 0").select("hash").distinct().withColumn("reused", F.lit(True))
+    new = hashed.where("doc_id % 2 = 1").groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
+    return new.join(stored, "hash", "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
+
+
+@query("""
+WITH d AS (SELECT 'O' || CAST(o_orderkey AS VARCHAR) AS path, o_orderkey % 13 AS size, epoch(o_orderdate)::BIGINT AS mtime FROM orders WHERE o_orderkey % 7 <> 0),
+m AS (SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_orderkey % 13 END AS size, epoch(o_orderdate)::BIGINT AS mtime FROM orders WHERE o_orderkey % 5 <> 0),
+j AS (SELECT d.path AS dp, m.path AS mp, d.size AS ds, m.size AS ms, d.mtime AS dm, m.mtime AS mm FROM d FULL JOIN m ON lower(d.path) = lower(m.path)),
+o AS (SELECT coalesce(dp, mp) AS path, CASE WHEN dp IS NULL THEN 'delete' WHEN mp IS NULL OR ds <> ms OR dm <> mm THEN 'upsert' END AS op, CASE WHEN dp IS NULL THEN 1e18 ELSE CAST(dm AS DOUBLE) END AS priority FROM j)
+SELECT * FROM o WHERE op IS NOT NULL""")
+def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, at = F.col("o_orderkey"), F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    orders = table(spark, sf_dir, "orders")
+    disk = orders.where(key % 7 != 0).select(F.concat(F.lit("O"), key.cast("string")).alias("path"), at.alias("mtime"), (key % 13).alias("size"))
+    manifest = orders.where(key % 5 != 0).select(F.concat(F.lit("o"), key.cast("string")).alias("path"), at.alias("mtime"), F.when(key % 3 == 0, -1).otherwise(key % 13).alias("size"))
+    return state.manifest_diff(disk, manifest)
+
+
+@query("""
+WITH f AS (SELECT doc_id, source || CAST(doc_id AS VARCHAR) AS path, n_chars AS size, doc_id AS mtime, md5(text) AS hash FROM documents),
+m AS (SELECT path, size, CASE WHEN doc_id % 3 = 0 THEN mtime + 1 ELSE mtime END AS mtime, CASE WHEN doc_id % 6 = 0 THEN '' ELSE hash END AS hash FROM f WHERE doc_id % 11 <> 0)
+SELECT f.path, CASE WHEN f.mtime = m.mtime AND f.size = m.size THEN 'skip' WHEN f.hash = m.hash THEN 'touch' ELSE 'index' END AS action FROM f LEFT JOIN m USING (path)""")
+def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    found = table(spark, sf_dir, "documents").select(d, F.concat("source", d.cast("string")).alias("path"), F.col("n_chars").alias("size"), d.alias("mtime"), F.md5("text").alias("hash"))
+    manifest = found.where(d % 11 != 0).select("path", "size", F.when(d % 3 == 0, d + 1).otherwise(d).alias("mtime"), F.when(d % 6 == 0, "").otherwise(F.col("hash")).alias("hash"))
+    return state.change_kind(found.drop("doc_id"), manifest)
+
+
+@query("""
+WITH r AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE lower(c_name) END AS path, c_acctbal AS indexed_at FROM customer UNION ALL SELECT c_name, c_acctbal - 1 FROM customer)
+SELECT path, indexed_at FROM (SELECT *, row_number() OVER (PARTITION BY lower(path) ORDER BY indexed_at DESC, path DESC) AS n FROM r) WHERE n = 1""")
+def case_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    rows = c.select(F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).otherwise(F.lower("c_name")).alias("path"), F.col("c_acctbal").alias("indexed_at")).union(c.select("c_name", F.col("c_acctbal") - 1))
+    return state.collapse_case(rows)
+
+
+@query("""
+WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM e GROUP BY 1, 2),
+n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM m GROUP BY 1)
+SELECT label, CAST(i - 1 AS INTEGER) AS place, round(x / CASE WHEN norm = 0 THEN 1 ELSE norm END, 6) AS value FROM m JOIN n USING (label)""")
+def mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("place", "x"))
+    mean = each.groupBy("label", "place").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    norm = mean.groupBy("label").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return mean.join(norm, "label").select("label", "place", F.round(F.col("x") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm")), 6).alias("value"))
+
+
+@query("SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role <> 'system')) AS whole FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE role <> 'system') > 0")
+def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "conversations").where("role <> 'system'").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("p"))
+    return parts.select("conv_id", F.md5(F.array_join(F.transform("p", lambda x: x["text"]), "\n")).alias("whole"))
+
+
+@query("""
+SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(CAST(ceil(length(text) / 4.0) AS BIGINT)) OVER w AS used, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) WHERE used <= 300 OR n = 1""")
+def history_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").withColumn("cost", T.estimate_tokens(F.col("text")))
+    return state.trim_history(said, "conv_id", "turn", "cost", 300).select("conv_id", "turn")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 5")
+def keep_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.keep_last(table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 5).select("user_id", "event_id")
+
+
+@query("""
+WITH w AS (SELECT source, doc_id, greatest(CAST(ceil(length(text) / 4.0) AS BIGINT), 1) AS weight FROM documents), t AS (SELECT source, sum(weight) AS total FROM w GROUP BY 1)
+SELECT source, doc_id, greatest(200, CAST(floor(50000 * weight / CAST(total AS DOUBLE)) AS BIGINT)) AS share FROM w JOIN t USING (source)""")
+def budget_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rag.budget_shares(table(spark, sf_dir, "documents"), "source", 50000).select("source", "doc_id", "share")
+
+
+@query("SELECT l_returnflag AS provider, l_linestatus AS model, CAST(sum(l_orderkey) AS BIGINT) AS prompt_tokens, CAST(sum(l_partkey) AS BIGINT) AS completion_tokens, round(sum(CAST(l_extendedprice AS DECIMAL(18, 2)))::DOUBLE, 4) AS cost_usd FROM lineitem GROUP BY 1, 2")
+def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usage = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("provider"), F.col("l_linestatus").alias("model"), F.col("l_orderkey").alias("prompt_tokens"), F.col("l_partkey").alias("completion_tokens"), F.col("l_extendedprice").cast("decimal(18,2)").alias("cost_usd"))
+    return state.usage_totals(usage).withColumn("cost_usd", F.col("cost_usd").cast("double"))
+
+
+@query("""
+SELECT o_custkey, o_orderkey, sum(CAST(o_totalprice AS DECIMAL(18, 2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) <= 500000 AS allowed FROM orders""")
+def monthly_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spend = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.col("o_totalprice").cast("decimal(18,2)").alias("amount"))
+    return state.within_budget(spend, "o_custkey", ["o_orderdate", "o_orderkey"], "amount", 500000).select("o_custkey", "o_orderkey", "allowed")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id % 5 < 3 AND event_id % 100 <= 50 ORDER BY event_id % 17 DESC, event_id LIMIT 16")
+def queue_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    queue = table(spark, sf_dir, "events").select("event_id", "user_id", (e % 5).alias("attempts"), (e % 100).cast("double").alias("not_before"), (e % 17).alias("priority"), e.alias("seq"))
+    return state.claim(queue, 50.0, 16).select("event_id", "user_id")
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT user_id AS path, floor(epoch(min(ts)))::BIGINT AS started, floor(epoch(max(ts) + INTERVAL 6 HOUR))::BIGINT AS ended, count(*) AS events FROM s GROUP BY user_id, n""")
+def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    return state.debounce(events, "6 hours").withColumn("started", F.unix_seconds("started")).withColumn("ended", F.unix_seconds("ended"))
+
+
+@query("SELECT epoch(date_trunc('second', ts))::BIGINT AS second, count(*) AS events, greatest(count(*) - 1, 0) AS dropped FROM events GROUP BY 1")
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    return state.rate_limit(events, 1).withColumn("second", F.unix_seconds("second"))
+
+
+@query("SELECT event_id FROM events WHERE NOT (lower(event_type) = 'view' OR starts_with('/data/' || lower(event_type) || '/' || CAST(user_id AS VARCHAR), '/data/click/'))  AND event_type <> 'view'")
+def prefix_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("/data/"), "event_type", F.lit("/"), F.col("user_id").cast("string")).alias("path"))
+    return sinks.delete_under(paths, ["/Data/Click/", "/data/view"]).select("event_id")
+
+
+# ------------------------------------------------------------------ versions and types
+@query("""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')))) END AS sh FROM w),
+c AS (SELECT min(doc_id) AS node, count(*) AS copies, sh FROM s WHERE len(sh) > 0 GROUP BY sh), e AS (SELECT node, len(sh) AS n, unnest(sh) AS x FROM c),
+p AS (SELECT a.node AS a, b.node AS b FROM e a JOIN e b ON a.x = b.x AND a.node < b.node GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+u AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(node, reach) AS (SELECT node, node FROM c UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach),
+m AS (SELECT node, min(reach) AS g, count(*) AS size FROM r GROUP BY node)
+SELECT s.doc_id, CASE WHEN m.size > 1 OR c.copies > 1 THEN m.g END AS version_group FROM s LEFT JOIN c ON c.sh = s.sh LEFT JOIN m ON m.node = c.node""")
+def version_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.version_groups(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n = 1")
+def newest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.newest(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+def _sql_type(name: str) -> str:
+    rule = doctypes.RULES[name]
+    near = lambda p: p.replace("(?<![a-z])", "(^|[^a-z])").replace("(?![a-z])", "($|[^a-z])")
+    any_of = lambda x, ps: f"regexp_matches({x}, '(?i){'|'.join(near(p) for p in ps)}')" if ps else "false"
+    quote = lambda p: p.replace("'", "''")
+    heads = " + ".join([f"CAST(len(list_filter(lines, lambda x: regexp_matches(x, '(?i)^({quote(p)})$'))) > 0 AS INTEGER)" for p in rule.get("headings", [])] or ["0"])
+    keys = " + ".join([f"CAST(regexp_matches(head, '(?i){quote(p)}') AS INTEGER)" for p in rule.get("keywords", [])] or ["0"])
+    return f"round(least(1.0, CASE WHEN {any_of('stem', rule.get('filename', []))} THEN 0.5 ELSE 0.0 END + CASE WHEN {any_of('path', rule.get('path', []))} THEN 0.4 ELSE 0.0 END + least(0.5, ({heads}) * 0.15::DOUBLE) + least(0.3, ({keys}) * 0.1::DOUBLE)), 6)"
+
+
+_TYPED = "'/home/' || (['notes', 'work', 'plans', 'x'])[conv_id % 4 + 1] || '/' || (['my_resume', 'cover letter', 'jd-12', 'invoice 7', 'todo', 'misc'])[conv_id % 6 + 1] || (['.txt', '.md', '.py'])[conv_id % 3 + 1]"
+
+
+@query(rf"""
+WITH t AS (SELECT conv_id AS doc_id, {_TYPED} AS path, string_agg(text, chr(10) || 'Summary' || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+h AS (SELECT *, regexp_replace(list_extract(string_split(path, '/'), -1), '\.[^.]*$', '') AS stem, string_split(text, chr(10))[1:400] AS l FROM t),
+x AS (SELECT *, array_to_string(l, chr(10)) AS head, list_transform(l, lambda x: trim(regexp_replace(trim(x), '^[#*:]+|[#*:]+$', '', 'g'))) AS lines FROM h),
+s AS (SELECT doc_id, path, unnest([{", ".join(f"{{'score': {_sql_type(n)}, 'priority': {-i}, 'name': '{n}'}}" for i, n in enumerate(doctypes.RULES))}]) AS c FROM x),
+b AS (SELECT doc_id, path, max(c) AS best FROM s GROUP BY doc_id, path)
+SELECT doc_id, CASE WHEN path LIKE '%.py' THEN 'code' WHEN best.score >= 0.4 THEN best.name ELSE 'other' END AS doc_type, round(CASE WHEN path LIKE '%.py' THEN 1.0 WHEN best.score >= 0.4 THEN best.score ELSE 1 - best.score END, 6) AS confidence FROM b""")
+def doctype_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda names: F.array(*map(F.lit, names))[(F.col("conv_id") % len(names)).cast("int")]
+    path = F.concat(F.lit("/home/"), pick(["notes", "work", "plans", "x"]), F.lit("/"), pick(["my_resume", "cover letter", "jd-12", "invoice 7", "todo", "misc"]), pick([".txt", ".md", ".py"]))
+    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("p"))
+    docs = whole.select(F.col("conv_id").alias("doc_id"), path.alias("path"), F.array_join(F.transform("p", lambda x: x["text"]), "\nSummary\n").alias("text"))
+    return doctypes.classify(docs)
+
+
+# ------------------------------------------------------------------ match
+_REQ = "SELECT l_orderkey AS doc_id, l_linenumber AS requirement_id, CASE WHEN l_linenumber % 2 = 1 THEN 'must' ELSE 'nice' END AS kind, l_quantity AS weight, l_partkey % 9 <> 0 AS enabled FROM lineitem"
+_JUDGED = "SELECT l_orderkey AS doc_id, l_linenumber AS requirement_id, (['met', 'partial', 'missing', 'unverified'])[l_suppkey % 4 + 1] AS status, l_suppkey AS pos FROM lineitem WHERE l_suppkey % 5 <> 0 UNION ALL SELECT l_orderkey, l_linenumber, 'met', 1000000000 FROM lineitem WHERE l_suppkey % 7 = 0"
+
+
+@query(f"""
+WITH q AS ({_REQ}), j AS (SELECT doc_id, requirement_id, max_by(status, pos) AS status FROM ({_JUDGED}) GROUP BY 1, 2),
+r AS (SELECT q.*, coalesce(status, 'missing') AS status, (CASE kind WHEN 'must' THEN 2.0 ELSE 1.0 END) * weight AS w FROM q LEFT JOIN j USING (doc_id, requirement_id) WHERE enabled)
+SELECT doc_id, CAST(coalesce(round_even(100 * CAST(sum(w * CASE status WHEN 'met' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END) AS DOUBLE) / nullif(sum(w), 0), 0), 0) AS INTEGER) AS score,
+  count(*) FILTER (WHERE kind = 'must' AND status = 'met') AS met_must, count(*) FILTER (WHERE kind = 'must') AS total_must, count(*) FILTER (WHERE kind <> 'must' AND status = 'met') AS met_nice, count(*) FILTER (WHERE kind <> 'must') AS total_nice, count(*) FILTER (WHERE status = 'unverified') AS unverified
+FROM r GROUP BY doc_id""")
+def checklist_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.checklist(*_checklist(spark, sf_dir))
+
+
+def _checklist(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("requirement_id"), "l_partkey", "l_suppkey", "l_quantity")
+    wanted = line.select("doc_id", "requirement_id", F.when(F.col("requirement_id") % 2 == 1, "must").otherwise("nice").alias("kind"), F.col("l_quantity").alias("weight"), (F.col("l_partkey") % 9 != 0).alias("enabled"))
+    status = F.array(*map(F.lit, ["met", "partial", "missing", "unverified"]))[(F.col("l_suppkey") % 4).cast("int")]
+    first = line.where("l_suppkey % 5 <> 0").select("doc_id", "requirement_id", status.alias("status"), F.col("l_suppkey").alias("pos"))
+    return wanted, first.union(line.where("l_suppkey % 7 = 0").select("doc_id", "requirement_id", F.lit("met"), F.lit(1000000000)))
+
+
+@query(r"""
+WITH q AS (SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS quote FROM benchmark),
+d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS hay FROM documents)
+SELECT item_id, doc_id FROM q JOIN d ON length(quote) >= 8 AND contains(hay, quote)""")
+def quote_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Substring is a theta join; a shared first five words makes it an equi-join, and the substring is checked on what meets.
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", T.normalise_quote(F.col("text")).alias("quote")).where(F.length("quote") >= 8)
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.normalise_quote(F.col("text")).alias("hay"))
+    second = F.split("quote", " ")
+    keyed = quotes.withColumn("key", F.xxhash64(F.try_element_at(second, F.lit(2)), F.try_element_at(second, F.lit(3)), F.try_element_at(second, F.lit(4))))
+    grams = lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))
+    places = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.array(F.split("hay", " ")), grams)[0])).alias("key"))
+    met = places.join(keyed.where(F.size(second) >= 5), "key").select("doc_id", "item_id", "quote").distinct()
+    few = keyed.where(F.size(second) < 5).select("item_id", "quote").join(docs, F.contains(F.col("hay"), F.col("quote"))).select("item_id", "doc_id")
+    return met.join(docs, "doc_id").where(F.contains("hay", F.col("quote"))).select("item_id", "doc_id").union(few)
+
+
+@query()
+def quote_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark passage with its fourth word dropped, looked for in the documents that hold it."""
+    hits = quote_exact(spark, sf_dir)
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.filter(F.split("text", r"\s+"), lambda w, i: i != 3), " ").alias("quote"))
+    rows = hits.join(quotes, "item_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumn("terms", F.array().cast("array<string>"))
+    return match.quote_found(rows, match.MATCH).select("item_id", "doc_id", "found")
+
+
+# ------------------------------------------------------------------ evaluation
+_RESULTS = "SELECT o_custkey AS qid, CASE WHEN o_orderkey % 2 = 0 THEN 'Dir\\' ELSE 'dir/' END || 'f' || CAST(o_orderkey % 40 AS VARCHAR) || '.txt' AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, o_shippriority IS NOT NULL AND o_orderkey % 3 <> 0 AS strong FROM orders"
+
+
+@query(f"""
+WITH res AS ({_RESULTS.replace(", o_shippriority IS NOT NULL AND o_orderkey % 3 <> 0 AS strong", ", o_orderkey % 3 <> 0 AS strong")}),
+ex AS (SELECT c_custkey AS qid, 'DIR/f' || CAST(c_custkey % 40 AS VARCHAR) || '.' AS pattern FROM customer UNION ALL SELECT c_custkey, 'dir/f' || CAST((c_custkey + 7) % 40 AS VARCHAR) || '.' FROM customer),
+h AS (SELECT res.qid, pattern, path, rank, strong FROM res JOIN ex ON res.qid = ex.qid AND contains(lower(replace(path, '\\', '/')), lower(pattern)) WHERE rank <= 10),
+a AS (SELECT qid, min(rank) AS first, min(rank) FILTER (WHERE strong) AS strong_first FROM h GROUP BY 1),
+g AS (SELECT qid, sum(1 / log2(r + 1)) AS dcg FROM (SELECT qid, pattern, min(rank) AS r FROM h GROUP BY 1, 2) GROUP BY 1),
+p AS (SELECT qid, count(DISTINCT path) / 5.0 AS p FROM h WHERE rank <= 5 GROUP BY 1),
+q AS (SELECT c_custkey AS qid, (first IS NOT NULL)::INT AS recall, (strong_first IS NOT NULL)::INT AS strong, coalesce(1.0 / first, 0) AS mrr, coalesce(dcg / (1 + 1 / log2(3)), 0) AS ndcg, coalesce(p, 0) AS p FROM customer LEFT JOIN a ON a.qid = c_custkey LEFT JOIN g ON g.qid = c_custkey LEFT JOIN p ON p.qid = c_custkey)
+SELECT round(avg(recall), 6) AS recall, round(avg(strong), 6) AS strong_recall, round(avg(CAST(mrr AS DOUBLE)), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(CAST(p AS DOUBLE)), 6) AS p_at_5 FROM q""")
+def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = F.col("o_orderkey")
+    ranked = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    results = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("qid"), F.concat(F.when(o % 2 == 0, "Dir\\").otherwise("dir/"), F.lit("f"), (o % 40).cast("string"), F.lit(".txt")).alias("path"), ranked.alias("rank"), (o % 3 != 0).alias("strong"))
+    c = table(spark, sf_dir, "customer")
+    expected = c.select(F.col("c_custkey").alias("qid"), F.explode(F.array(F.concat(F.lit("DIR/f"), (F.col("c_custkey") % 40).cast("string"), F.lit(".")), F.concat(F.lit("dir/f"), ((F.col("c_custkey") + 7) % 40).cast("string"), F.lit(".")))).alias("pattern"))
+    return evaluate.leg_score(evaluate.query_metrics(c.select(F.col("c_custkey").alias("qid")), results, expected))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
+def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(*(F.round(F.percentile("value", p / 100), 6).alias(f"p{p}") for p in (10, 25, 50, 75, 90)))
+
+
+# ------------------------------------------------------------------ answers and results
+@query("""
+WITH a AS (SELECT item_id AS qid, 'see [' || CAST(item_id % 5 AS VARCHAR) || '] and [2], [2] not [99]' AS answer FROM benchmark), s AS (SELECT item_id AS qid, unnest([1, 2, 3]) AS n FROM benchmark),
+c AS (SELECT qid, unnest(regexp_extract_all(answer, '\\[([0-9]{1,9})\\]', 1)) AS number, generate_subscripts(regexp_extract_all(answer, '\\[([0-9]{1,9})\\]', 1), 1) - 1 AS position FROM a)
+SELECT c.qid, CAST(number AS INTEGER) AS number, CAST(min(position) AS INTEGER) AS position, bool_or(s.n IS NOT NULL) AS known FROM c LEFT JOIN s ON s.qid = c.qid AND s.n = CAST(number AS INTEGER) GROUP BY 1, 2""")
+def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
+    answers = items.withColumn("answer", F.concat(F.lit("see ["), (F.col("qid") % 5).cast("string"), F.lit("] and [2], [2] not [99]")))
+    return rag.citations(answers, items.select("qid", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")))
+
+
+@query("SELECT lower(regexp_extract(url, '(\\.[A-Za-z0-9]+)([?#].*)?$', 1)) AS ext, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, ext")
+def ext_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ext = F.lower(F.regexp_extract("url", r"(\.[A-Za-z0-9]+)([?#].*)?$", 1))
+    return table(spark, sf_dir, "pages").groupBy(ext.alias("ext")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ext")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS qid, 'p' || CAST(l_partkey % 9 AS VARCHAR) AS path, CAST(l_linenumber * 10 AS INTEGER) AS start_line, CAST(l_linenumber * 10 + l_quantity AS INTEGER) AS end_line FROM lineitem),
+m AS (SELECT *, max(end_line) OVER (PARTITION BY qid, path ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM l),
+n AS (SELECT *, sum(CASE WHEN before IS NULL OR start_line > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY qid, path ORDER BY start_line, end_line ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT qid, path, CAST(island AS INTEGER) AS island, min(start_line) AS start_line, max(end_line) AS end_line, count(*) AS chunks FROM n GROUP BY qid, path, island""")
+def neighbour_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("l_linenumber") * 10
+    chunks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qid"), F.concat(F.lit("p"), (F.col("l_partkey") % 9).cast("string")).alias("path"), at.cast("int").alias("start_line"), (at + F.col("l_quantity")).cast("int").alias("end_line"))
+    return rag.merge_neighbours(chunks)
+
+
+@query()
+def rag_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = document_files(spark, sf_dir)
+    fused = retrieval.top(retrieval.fuse(*_legs(spark, sf_dir)), "qid", rag.MOST_FILES, F.desc("score"), F.desc(retrieval.fused_order(F.col("similarity"))), "doc_id", rank="file_rank")
+    pieces = fused.join(files.select("doc_id", "path", "text"), "doc_id").select("qid", "file_rank", "path", F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), "text")
+    return rag.pack_sources(pieces, 2000)
+
+
+@query()
+def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk(table(spark, sf_dir, "documents"))
+
+
+@query()
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: F.concat(F.lit("## "), x["role"], F.lit("\n"), x["text"])), "\n")
+    return chunking.chunk(said.select(F.col("conv_id").alias("doc_id"), text.alias("text")), markdown=True)
+
+
+@query()
+def reduced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = rag.budget_shares(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", 50000).select("doc_id", "text", F.col("share").alias("budget"))
+    return rag.reduce_texts(shared, "the of and").select("doc_id", "kept", "cut")

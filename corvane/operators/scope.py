@@ -1,0 +1,96 @@
+"""Which files are indexed, as one ordered chain of native predicates."""
+
+from __future__ import annotations
+
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions import text as T
+
+# Name patterns of secrets, their exceptions, and of noise.
+SECRET = ".env .env.* *.pem *.key *.pfx *.p12 id_rsa* id_ed25519* *credential* .npmrc .pypirc *.kdbx client_secret*.json *service-account*.json *serviceaccount*.json *adminsdk*.json token.json *.ppk id_dsa* id_ecdsa* .netrc _netrc *.jks *.keystore .htpasswd secrets.json secrets.yaml secrets.yml secrets.toml".split()
+SECRET_EXCEPT = [".env.example", ".env.sample", ".env.template"]
+NOISE = "*.min.js *.min.css *.map *.lock package-lock.json pnpm-lock.yaml yarn.lock npm-shrinkwrap.json go.sum composer.lock gemfile.lock poetry.lock uv.lock pipfile.lock .aider*history* .aider.tags.cache*".split()
+TEXT_NAMES = "dockerfile makefile readme license licence copying .gitignore .gitattributes .dockerignore .editorconfig .env.example .env.sample .env.template .cursorrules .windsurfrules".split()
+KIND_OF = {
+    "code": ".c .h .cpp .hpp .cc .cxx .rs .go .dart .java .cs .kt .kts .scala .swift .gradle .py .ts .tsx .js .jsx .mjs .cjs .vue .svelte .php .rb .lua .r .sh .bash .ps1 .bat .cmd .html .htm .css .scss .sass .less .svg .sql .json .yaml .yml .toml .xml .ini .cfg .ipynb .csv .tsv".split(),
+    "doc": ".md .mdc .markdown .txt .tex .pdf .docx .pptx .rtf".split(),
+    "image": ".png .jpg .jpeg .webp .gif .bmp .tif .tiff".split(),
+}
+BLOCKED_DIRS = "node_modules __pycache__ .git .venv venv dist build target .idea .cache".split()
+MOST_MB = {"code": 15, "doc": 200, "image": 100}
+
+
+def glob_to_regex(glob: str) -> str:
+    """``**/`` any directories, ``**`` anything, ``*`` and ``?`` within one part; the whole path must match."""
+    out, i = "", 0
+    while i < len(glob):
+        for token, pattern in (("**/", "(?:.*/)?"), ("**", ".*"), ("*", "[^/]*"), ("?", "[^/]")):
+            if glob.startswith(token, i):
+                out, i = out + pattern, i + len(token)
+                break
+        else:
+            out, i = out + re.escape(glob[i]), i + 1
+    return f"^{out}$"
+
+
+def _names(patterns: list[str]) -> str:
+    return "|".join(glob_to_regex(p) for p in patterns)
+
+
+def is_secret(path: Column) -> Column:
+    name = T.file_name(path)
+    return ~name.isin(SECRET_EXCEPT) & name.rlike(_names(SECRET))
+
+
+def file_kind(path: Column) -> Column:
+    name = T.file_name(path)
+    ext = F.concat(F.lit("."), T.extension(name))
+    return F.coalesce(F.when(name.isin(TEXT_NAMES), "code"), *(F.when(ext.isin(exts), kind) for kind, exts in KIND_OF.items()))
+
+
+def in_blocked_dir(path: Column) -> Column:
+    parts = F.transform(F.split(path, r"[\\/]"), F.lower)
+    return F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, BLOCKED_DIRS)))
+
+
+def reject_reason(path: Column, size: Column) -> Column:
+    """The first rule against a file, null if none: secret, noise, kind, path, empty, size."""
+    kind = file_kind(path)
+    most = reduce(lambda e, k: F.when(kind == k, MOST_MB[k]).otherwise(e), MOST_MB, F.lit(0))
+    return (
+        F.when(is_secret(path), "secret").when(T.file_name(path).rlike(_names(NOISE)), "noise").when(kind.isNull(), "kind")
+        .when(in_blocked_dir(path), "path").when(size == 0, "empty").when(size > most * 1048576, "size")
+    )
+
+
+def never_send(files: DataFrame, types: DataFrame, blocked_types: list[str], globs: list[str]) -> DataFrame:
+    """``files`` (path) with ``blocked``: a secret, a blocked document type (``types``: path, doc_type) or a glob's match."""
+    low = F.lower(F.regexp_replace("path", r"\\", "/"))
+    by_glob = low.rlike("|".join(map(glob_to_regex, globs))) if globs else F.lit(False)
+    typed = files.join(types, "path", "left")
+    return typed.withColumn("blocked", is_secret(F.col("path")) | by_glob | F.coalesce(F.col("doc_type").isin(blocked_types), F.lit(False)))
+
+
+def project_of(files: DataFrame, markers: DataFrame) -> DataFrame:
+    """``files`` (path) with ``project``: the nearest ancestor folder with a repository, else the nearest with another marker.
+
+    ``markers`` has (dir, repository). Ancestors meet markers in an equi-join.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    each = files.select("path", F.explode(above).alias("dir"))
+    found = each.join(markers, "dir").groupBy("path").agg(F.max_by("dir", F.struct("repository", F.length("dir"))).alias("project"))
+    return files.join(found, "path", "left")
+
+
+def drop_nested(roots: DataFrame) -> DataFrame:
+    """``roots`` (path) without those below another one."""
+    low = lambda c: F.lower(F.regexp_replace(c, "[/\\\\]+$", ""))
+    distinct = roots.withColumn("key", low("path")).dropDuplicates(["key"])
+    parts = F.split("key", r"[/\\]")
+    above = distinct.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("up")).where("up <> key")
+    nested = above.join(distinct.select(F.col("key").alias("up")), "up", "left_semi").select("key").distinct()
+    return distinct.join(nested, "key", "left_anti").select("path")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import checks as C, text as T
-from .operators import chunking, doctypes, evaluate, match, privacy, rag, ranking, retrieval, state, versions
+from .operators import chunking, doctypes, evaluate, match, privacy, rag, ranking, retrieval, scope, state, versions
 from .plans import search as S
 from .sources import sinks
 from .sources.corpus import document_files, table
@@ -599,3 +599,55 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reduced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = rag.budget_shares(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", 50000).select("doc_id", "text", F.col("share").alias("budget"))
     return rag.reduce_texts(shared, "the of and").select("doc_id", "kept", "cut")
+
+
+# ------------------------------------------------------------------ scope
+_SCOPED = "CASE WHEN doc_id % 13 = 0 THEN '/home/node_modules/' ELSE '/home/' || source || '/' END || (['id_rsa', 'a.pem', '.env.example', 'yarn.lock', 'x.min.js', 'main.py', 'notes.md', 'photo.png', 'data.bin', 'README', 'my_Credentials.txt', 'b.docx'])[doc_id % 12 + 1]"
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, {_SCOPED} AS path, CASE WHEN doc_id % 17 = 0 THEN 0 ELSE n_chars * 40000 END AS size FROM documents),
+n AS (SELECT *, lower(list_extract(string_split(path, '/'), -1)) AS name FROM p),
+k AS (SELECT *, CASE WHEN name IN ('.env.example', 'readme', 'main.py', 'x.min.js') THEN 'code' WHEN name IN ('notes.md', 'my_credentials.txt', 'b.docx') THEN 'doc' WHEN name = 'photo.png' THEN 'image' END AS kind FROM n)
+SELECT doc_id, CASE WHEN name IN ('id_rsa', 'a.pem', 'my_credentials.txt') THEN 'secret' WHEN name IN ('yarn.lock', 'x.min.js') THEN 'noise' WHEN kind IS NULL THEN 'kind' WHEN contains(path, '/node_modules/') THEN 'path' WHEN size = 0 THEN 'empty'
+  WHEN size > 1048576 * CASE kind WHEN 'code' THEN 15 WHEN 'doc' THEN 200 ELSE 100 END THEN 'size' END AS reason FROM k""")
+def scope_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    names = ["id_rsa", "a.pem", ".env.example", "yarn.lock", "x.min.js", "main.py", "notes.md", "photo.png", "data.bin", "README", "my_Credentials.txt", "b.docx"]
+    path = F.concat(F.when(d % 13 == 0, "/home/node_modules/").otherwise(F.concat(F.lit("/home/"), "source", F.lit("/"))), F.array(*map(F.lit, names))[(d % 12).cast("int")])
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.when(d % 17 == 0, 0).otherwise(F.col("n_chars") * 40000).alias("size"))
+    return files.select("doc_id", scope.reject_reason(F.col("path"), F.col("size")).alias("reason"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, lower('/x/' || source || '/' || CASE WHEN doc_id % 5 = 0 THEN 'id_rsa' ELSE 'f' || CAST(doc_id AS VARCHAR) || '.txt' END) AS path, CASE WHEN doc_id % 3 = 0 THEN 'resume' WHEN doc_id % 3 = 1 THEN 'paper' END AS doc_type FROM documents)
+SELECT doc_id, doc_id % 5 = 0 OR coalesce(doc_type = 'resume', false) OR starts_with(path, '/x/src7/') AS blocked FROM t""")
+def never_send(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    name = F.when(d % 5 == 0, F.concat(d.cast("string"), F.lit("/id_rsa"))).otherwise(F.concat(F.lit("f"), d.cast("string"), F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/x/"), "source", F.lit("/"), name).alias("path"))
+    types = files.select("path", F.when(d % 3 == 0, "resume").when(d % 3 == 1, "paper").alias("doc_type")).where("doc_type IS NOT NULL")
+    return scope.never_send(files, types, ["resume"], ["/x/src7/**"]).select("doc_id", "blocked")
+
+
+@query("""
+WITH f AS (SELECT event_id, '/home/u' || CAST(user_id AS VARCHAR) || '/' || event_type || '/a/b.txt' AS path, '/home/u' || CAST(user_id AS VARCHAR) AS u, event_type FROM events)
+SELECT event_id, CASE WHEN event_type = 'click' THEN u || '/click' WHEN CAST(replace(u, '/home/u', '') AS BIGINT) % 2 = 0 THEN u WHEN event_type = 'view' THEN u || '/view' END AS project FROM f""")
+def project_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    user = F.concat(F.lit("/home/u"), F.col("user_id").cast("string"))
+    files = e.select("event_id", F.concat(user, F.lit("/"), "event_type", F.lit("/a/b.txt")).alias("path"))
+    sub = lambda kind, repo: e.where(F.col("event_type") == kind).select(F.concat(user, F.lit(f"/{kind}")).alias("dir"), F.lit(repo).alias("repository"))
+    markers = sub("click", True).union(sub("view", False)).union(e.where("user_id % 2 = 0").select(user, F.lit(True))).distinct()
+    paths = files.select("path").distinct()
+    return files.join(scope.project_of(paths, markers), "path").select("event_id", "project")
+
+
+@query("""
+WITH m AS (SELECT s_suppkey AS model, s_nationkey AS role, s_acctbal AS size FROM supplier), c AS (SELECT role, model, CASE WHEN model % 20 = 0 THEN 0 WHEN size <= 5000 THEN 1 ELSE 2 END AS tier, size FROM m)
+SELECT role, model FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY tier, CASE WHEN tier = 2 THEN size ELSE -size END, model) AS n FROM c) WHERE n = 1""")
+def model_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each role a pinned model, else the largest that fits, else the smallest."""
+    tier = F.when(F.col("s_suppkey") % 20 == 0, 0).when(F.col("s_acctbal") <= 5000, 1).otherwise(2)
+    models = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("role"), F.col("s_suppkey").alias("model"), "s_acctbal", tier.alias("tier"))
+    return retrieval.top(models, "role", 1, F.asc("tier"), F.when(F.col("tier") == 2, F.col("s_acctbal")).otherwise(-F.col("s_acctbal")), F.asc("model")).select("role", "model")

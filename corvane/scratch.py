@@ -25,11 +25,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.add(name)
         df.write.mode("overwrite").parquet(self.path(name))
         saved = self.spark.read.schema(df.schema).parquet(self.path(name))
         # Spark deletes the shuffle files of a finished plan only when the driver collects its garbage,
@@ -41,6 +43,11 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Deletes a table that no later plan reads."""
+        self.names.discard(name)
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep_only(self, *names: str) -> None:
+        for name in self.names - {*names}:
+            self.drop(name)

@@ -77,6 +77,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, perc
     found = scratch.save(found, "candidates")
     whole = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", shingles(words(F.col("text")), width).alias("sd"))
     whole = scratch.save(whole, "documents")
+    scratch.keep_only("items", "candidates", "documents")
     pairs = found.join(items, "item").join(whole, "doc_id").select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), F.size(F.array_intersect("s", "sd")).cast("long").alias("n_common"))
     kept = pairs.where(F.col("n_common") * 100 >= F.col("n_item") * percent)
     return kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_common", "n_item")).alias("m")).select("doc_id", "item_id", "m.n_item", "m.n_common")

@@ -173,6 +173,7 @@ def write_archives(pages: DataFrame, root: str, *, least: int = LEAST_REVISIT) -
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     large = rows.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
     last = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    last = scratch.save(last, "last")  # written, so that AQE can split a payload that most pages share
     revisits = scratch.save(large.join(last, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct(), "revisits")
     typed = rows.join(revisits, ["page_id", "digest"], "left").withColumn("key", url_key(F.col("url")))
     ordered = typed.repartitionByRange(F.col("key"), F.col("page_id")).sortWithinPartitions("key", "page_id")
@@ -213,4 +214,5 @@ def read_captures(shards: DataFrame, lo: str = "", hi: str = "\U0010ffff") -> Da
     checked against their digests; a revisit's size is that of the full payload.
     """
     within = shards.where((F.col("hi") >= lo) & (F.col("lo") <= hi)).select("archive")
-    return within.repartition(F.col("archive")).mapInArrow(_read(lo, hi), RESULT)
+    # a row stands for a whole archive: a given number keeps Spark from joining the small partitions
+    return within.repartition(max(1, within.count())).mapInArrow(_read(lo, hi), RESULT)

@@ -108,8 +108,8 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, dtype=U64).view(np.int64)
 
 
-def lists(parts: list[np.ndarray]) -> pa.Array:
-    """An Arrow list<int64> column of 64-bit arrays."""
+def lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.Array:
+    """An Arrow list column of integer arrays, 64-bit hashes by default."""
     offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-    flat = signed(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    flat = np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(flat) if kind is np.int64 else flat.astype(kind)))

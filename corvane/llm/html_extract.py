@@ -1,8 +1,8 @@
 """HTML extraction by consensus host paths.
 
 A page's containers are scored by the text that lies in them, less what lies in
-links. Each page votes for its best container's path of tags and classes, with
-numbers generalised. Votes are summed by host; the path that wins a host says
+links; the best one gives way to the article around it. Each page votes for that
+container's path of tags and classes, with numbers generalised. Votes are summed by host; the path that wins a host says
 where the main text lies on all of its pages, and a page without that path uses
 its own best container.
 """
@@ -38,16 +38,36 @@ OUTER_MARKS = frozenset("header masthead topbar banner".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
+#: Elements that hold no text of their own kind: what lies in them counts for the container around.
+PARTS = TEXTUAL | {"ul", "ol", "dl", "table", "tbody", "thead", "tr"}
+#: A container is left for the one around it if that adds so much of the text, or a headline.
+GAIN = 0.1
+
+
 class Node:
-    __slots__ = ("tag", "parent", "path", "dropped", "score", "inside")
+    __slots__ = ("tag", "parent", "label", "dropped", "score", "inside", "holder", "number", "last", "total", "match", "chosen")
 
-    def __init__(self, tag: str, parent: Node | None, label: str, dropped: bool):
-        self.tag, self.parent, self.dropped, self.score = tag, parent, dropped, 0
-        self.path = f"{parent.path}>{label}" if parent else label
+    def __init__(self, tag: str, parent: Node | None, label: str, dropped: bool, number: int, winner: list[str]):
+        self.tag, self.parent, self.label, self.dropped = tag, parent, label, dropped
+        self.number = self.last = number
+        self.score = self.total = 0
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
+        self.holder = parent.holder if parent and tag in PARTS else self
+        # how many labels of the winning path lead here, -1 off that path; ``chosen`` at its end and below
+        at = parent.match if parent else -1
+        self.match = 0 if parent is None else at + 1 if 0 <= at < len(winner) and winner[at] == label else -1
+        self.chosen = bool(parent and parent.chosen) or bool(winner) and self.match == len(winner)
+
+    def path(self) -> str:
+        """The labels from the root to here; built for the one container that a page votes for."""
+        labels, up = [], self
+        while up.parent:
+            labels.append(up.label)
+            up = up.parent
+        return ">".join(reversed(labels))
 
 
-def _open(tag: str, attributes: str, parent: Node) -> Node:
+def _open(tag: str, attributes: str, parent: Node, number: int, winner: list[str]) -> Node:
     label, marked = tag, False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value = html.unescape(a or b or c)
@@ -62,80 +82,132 @@ def _open(tag: str, attributes: str, parent: Node) -> Node:
     if tag in ("article", "main", "body", "html"):
         marked = False
     dropped = parent.dropped or marked or tag in DROPPED or tag == "header" and not parent.inside
-    return Node(tag, parent, label, dropped)
-
-
-def blocks(page: str) -> list[tuple[Node, str, int]]:
-    """(element, text, characters of it in links) of every block outside dropped elements, in page order; elements have their scores."""
-    root = Node("", None, "", False)
-    at, out, text, links, linked = root, [], [], 0, 0
-
-    def flush() -> None:
-        nonlocal links
-        if text:
-            if not at.dropped and (whole := " ".join(html.unescape("".join(text)).split())):
-                out.append((_block(at), whole, links))
-            text.clear()
-        links = 0
-
-    def add(s: str) -> None:
-        nonlocal links
-        if s and not at.dropped:
-            text.append(s)
-            if linked:
-                links += len(s)
-
-    done, n = 0, len(page)
-    while done < n:
-        m = TAG.search(page, done)
-        if not m:
-            add(page[done:])
-            break
-        add(page[done : m.start()])
-        done = m.end()
-        close, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
-        if tag in VOID:
-            if tag in INLINE:
-                add(" " if tag in ("br", "wbr") else "")
-            else:
-                flush()
-            continue
-        inline = tag in INLINE
-        if not close:
-            if tag in RAW:
-                if not rest.endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, done)
-                    done = end.end() if end else n
+    return Node(tag, parent, label, dropped, number, winner)
+
+
+class Page:
+    """A page's elements in the order in which they open and, in page order, the blocks outside dropped elements: (element, text, characters of it in links).
+
+    Everything is done in loops over elements and blocks, so deep nesting costs no more than its number of tags.
+    """
+
+    def __init__(self, page: str, path: str | None = None):
+        self.nodes = [Node("", None, "", False, 0, winner := path.split(">") if path else [])]
+        self.blocks: list[tuple[Node, str, int]] = []
+        self._read(page, winner)
+        for node, whole, in_links in self.blocks:
+            worth = max(0, len(whole) - 2 * in_links)
+            holder = (node.parent if node.tag in TEXTUAL and node.parent else node).holder
+            holder.score += 2 * worth
+            node.total += worth
+            if holder.parent:
+                holder.parent.score += worth
+        for node in reversed(self.nodes[1:]):
+            node.parent.total += node.total
+            node.parent.last = max(node.parent.last, node.last)
+
+    def best(self) -> Node | None:
+        """The container of the main text, None without text.
+
+        From the one with the highest score, of equals the first, to the article or main element around it; in a
+        page without these as far out as the next container adds ``GAIN`` of the text or a headline.
+        """
+        top = max(self.nodes, key=lambda n: n.score)
+        if not top.score:
+            return None
+        up, found = top, {}
+        while up.parent:
+            found.setdefault(up.tag, up)
+            up = up.parent
+        if around := found.get("article") or found.get("main"):
+            return around
+        headed = {node.parent.number for node, _, _ in self.blocks if node.tag in ("h1", "h2") and node.parent}
+        up = top
+        while up.parent and up.parent.parent:
+            up = up.parent
+            if up.total >= (1 + GAIN) * top.total or up.number in headed and up.tag != "body":
+                top = up
+        return top
+
+    def text(self) -> str:
+        """The blocks below the winning path, or in the page's own best container if the page has no text there."""
+        chosen = [t for node, t, _ in self.blocks if node.chosen]
+        if not chosen and (top := self.best()):
+            chosen = [t for node, t, _ in self.blocks if top.number <= node.number <= top.last]
+        return "\n\n".join(chosen)
+
+    def _read(self, page: str, winner: list[str]) -> None:
+        at = root = self.nodes[0]
+        out, text, links, linked = self.blocks, [], 0, 0
+        open_: dict[str, int] = {}  # elements of each tag that are open
+
+        def leave(to: Node) -> None:
+            nonlocal at
+            while at is not to:
+                open_[at.tag] -= 1
+                at = at.parent
+
+        def flush() -> None:
+            nonlocal links
+            if text:
+                if not at.dropped and (whole := " ".join(html.unescape("".join(text)).split())):
+                    out.append((_block(at), whole, links))
+                text.clear()
+            links = 0
+
+        def add(s: str) -> None:
+            nonlocal links
+            if s and not at.dropped:
+                text.append(s)
+                if linked:
+                    links += len(s)
+
+        done, n = 0, len(page)
+        while done < n:
+            m = TAG.search(page, done)
+            if not m:
+                add(page[done:])
+                break
+            add(page[done : m.start()])
+            done = m.end()
+            close, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            if not tag:
+                continue
+            tag = tag.lower()
+            if tag in VOID:
+                if tag in INLINE:
+                    add(" " if tag in ("br", "wbr") else "")
+                else:
+                    flush()
+                continue
+            inline = tag in INLINE
+            if not close:
+                if tag in RAW:
+                    if not rest.endswith("/"):
+                        end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, done)
+                        done = end.end() if end else n
+                    continue
+                if not inline:
+                    flush()
+                    leave(_implied(at, tag, open_))
+                elif tag == "a":
+                    linked += 1
+                at = _open(tag, rest, at, len(self.nodes), winner)
+                self.nodes.append(at)
+                open_[tag] = open_.get(tag, 0) + 1
                 continue
             if not inline:
                 flush()
-                at = _implied(at, tag)
             elif tag == "a":
-                linked += 1
-            at = _open(tag, rest, at)
-            continue
-        if not inline:
-            flush()
-        elif tag == "a":
-            linked = max(0, linked - 1)
-        up = at
-        while up is not root and up.tag != tag and not (inline and up.tag not in INLINE):
-            up = up.parent
-        if up is not root and up.tag == tag:
-            at = up.parent
-    flush()
-    for node, whole, in_links in out:
-        worth = max(0, len(whole) - 2 * in_links)
-        holder = node.parent if node.tag in TEXTUAL and node.parent else node
-        while holder.parent and holder.tag in TEXTUAL | {"ul", "ol", "dl", "table", "tbody", "thead", "tr"}:
-            holder = holder.parent
-        holder.score += 2 * worth
-        if holder.parent:
-            holder.parent.score += worth
-    return out
+                linked = max(0, linked - 1)
+            if not open_.get(tag):
+                continue
+            up = at
+            while up is not root and up.tag != tag and not (inline and up.tag not in INLINE):
+                up = up.parent
+            if up is not root and up.tag == tag:
+                leave(up.parent)
+        flush()
 
 
 def _block(at: Node) -> Node:
@@ -144,13 +216,16 @@ def _block(at: Node) -> Node:
     return at
 
 
-def _implied(at: Node, tag: str) -> Node:
+def _implied(at: Node, tag: str, open_: dict[str, int]) -> Node:
     """The element in which ``tag`` opens: an open paragraph, and a list item or cell of the same list or row, ends."""
     kinds, border = ENDS.get(tag, (set(), set()))
     up = at
-    while up.parent:
-        if up.tag == "p" or up.tag in kinds:
-            return _implied(up.parent, tag) if up.tag == "p" else up.parent
+    while up.parent and any(open_.get(x) for x in ("p", *kinds)):
+        if up.tag == "p":
+            at = up = up.parent
+            continue
+        if up.tag in kinds:
+            return up.parent
         if up.tag in border or up.tag not in INLINE and up.tag not in TEXTUAL and not kinds:
             break
         up = up.parent
@@ -160,49 +235,19 @@ def _implied(at: Node, tag: str) -> Node:
     return at
 
 
-def best(found: list[tuple[Node, str, int]]) -> Node | None:
-    """The container with the highest score; of equals the one opened first."""
-    top = None
-    for node, _, _ in found:
-        while node:
-            if node.score and (top is None or node.score > top.score):
-                top = node
-            node = node.parent
-    return top
-
-
-def text_of(found: list[tuple[Node, str, int]], path: str | None) -> str:
-    """The blocks below ``path``, or below the page's own best container if the page has no text there."""
-    inside: dict[int, bool] = {}
-
-    def under(node: Node | None, top: Node | None) -> bool:
-        if node is None:
-            return False
-        known = inside.get(id(node))
-        if known is None:
-            known = inside[id(node)] = (node is top if top else node.path == path) or under(node.parent, top)
-        return known
-
-    chosen = [t for node, t, _ in found if under(node, None)] if path else []
-    if not chosen and (top := best(found)):
-        inside.clear()
-        chosen = [t for node, t, _ in found if under(node, top)]
-    return "\n\n".join(chosen)
-
-
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         votes: dict[tuple[str, str], int] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            top = best(blocks(page.as_py() or ""))
-            if top:
-                votes[host, top.path] = votes.get((host, top.path), 0) + top.score
+            if top := Page(page.as_py() or "").best():
+                key = host, top.path()
+                votes[key] = votes.get(key, 0) + top.total
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.int64())], ["host", "path", "votes"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [text_of(blocks(page.as_py() or ""), path) for page, path in zip(batch.column("html"), batch.column("winner").to_pylist(), strict=True)]
+        texts = [Page(page.as_py() or "", path).text() for page, path in zip(batch.column("html"), batch.column("winner").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 

@@ -1,6 +1,10 @@
+import resource
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm.html_extract import best, blocks, main_text, text_of
+from corvane.llm.html_extract import Page, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=/>x</a></nav>
 <div class="cookie-notice"><p>We use cookies</p></div><div class="wrap"><div class="post-12"><h1>Title &amp; more</h1><p><b>One <a href=x>two</a>
@@ -9,10 +13,41 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><b
 
 
 def test_blocks():
-    assert text_of(blocks(PAGE), None).split("\n\n") == ["Title & more", "One two three four", "Five <b> 1 < 2", "a", "b"]
-    assert best(blocks(PAGE)).path == ">html>body>div.wrap>div.post-#"
-    assert text_of(blocks(""), None) == "" and text_of(blocks("<p class='x>open"), None) is not None
-    assert text_of(blocks("plain text"), None) == "plain text"
+    assert Page(PAGE).text().split("\n\n") == ["Title & more", "One two three four", "Five <b> 1 < 2", "a", "b"]
+    assert Page(PAGE).best().path() == "html>body>div.wrap>div.post-#"
+    assert Page("").text() == "" and Page("<p class='x>open").text() is not None
+    assert Page("plain text").text() == "plain text"
+
+
+def prose(n, mark):
+    return " ".join(f"{mark}{i} word" for i in range(n))
+
+
+A, B, C = prose(60, "a"), prose(50, "b"), prose(12, "c")
+MENU = "<nav><ul><li><a href=/1>Home</a><li><a href=/2>About</a></ul></nav>"
+FOOT = "<footer><p>All rights reserved by the publisher</p></footer>"
+#: Pages by kind with their main text, labelled by hand.
+LABELLED = {
+    "article with headline, lead and nested sections": (f"<body>{MENU}<article><h1>Headline</h1><p>{C}</p><section class=one><div><p>{A}</p></div></section><section class=two><p>{B}</p></section></article>{FOOT}", ["Headline", C, A, B]),
+    "two containers side by side": (f"<body>{MENU}<div class=page><div class=part1><p>{A}</p></div><div class=part2><p>{B}</p></div></div>{FOOT}", [A, B]),
+    "headline outside the text's container": (f"<body>{MENU}<div class=page><h1>Headline</h1><div class=text><p>{A}</p><p>{B}</p></div></div>{FOOT}", ["Headline", A, B]),
+    "main with a table and a list": (f"<body>{MENU}<main><h2>Data</h2><table><tr><td>{C}<td>two</table><ol><li>{A}<li>three</ol></main>{FOOT}", ["Data", C, "two", A, "three"]),
+    "teasers beside a long text": (f"<body>{MENU}<div class=text><p>{A}</p><p>{B}</p></div><div class=more><p><a href=1>{C}</a></p></div>{FOOT}", [A, B]),
+    "reader comments and notices inside": (f"<body><article><h1>Headline</h1><div class=notice><p>Subscribe now</p></div><p>{A}</p><div id=comments><p>{B}</p></div></article>", ["Headline", A]),
+    "no container at all": (f"<h1>Headline</h1><p>{A}<p>{B}", ["Headline", A, B]),
+    "text of line breaks and entities": (f"<body><div id=x>{MENU}<div class=post>{A}<br>&eacute;t&#233; &amp; more</div></div>", [f"{A} été & more"]),
+    "script, style and form between": (f"<body><div class=post><p>{A}<script>let p = '<p>no</p>'</script></p><style>p {{}}</style><form><p>Send</p></form><p>{B}</p></div>", [A, B]),
+    "sidebar and advert": (f"<body><div class=layout><div class=sidebar><p>{C}</p></div><div class=content><p>{A}</p><div class='ad-box'><p>buy</p></div><p>{B}</p></div></div>", [A, B]),
+}
+
+
+@pytest.mark.parametrize("kind", LABELLED)
+def test_labelled_pages(kind):
+    page, want = LABELLED[kind]
+    got, wanted = Counter(Page(page).text().split()), Counter(" ".join(want).split())
+    f1 = 2 * (got & wanted).total() / (got.total() + wanted.total())
+    assert f1 == 1.0, f"word F1 {f1:.3f}"
+    assert Page(page).text() == "\n\n".join(want)
 
 
 def test_consensus_and_edges(spark):
@@ -27,6 +62,24 @@ def test_consensus_and_edges(spark):
     assert main_text(df.limit(0)).count() == 0
 
 
+N = 100_000
+DEEP = {
+    "outside the winning path": ("<article><p>hello</p></article>" + "<div>" * N + "x" + "</div>" * N, "hello"), "inside the article": ("<article><p>hello</p>" + "<div>" * N + "x" + "</div>" * N, "hello\n\nx"),
+    "lists": ("<ul><li>a" * N, "\n\n".join("a" * N)), "inline elements": ("<b>" * N + "</i>" * N + "z", "z"), "cells": ("<table><tr><td>" * N + "q", "q"), "huge": ("<article><p>" + "wide " * 2_000_000, ("wide " * 2_000_000).strip()),
+}
+
+
+def test_deep_and_huge_pages(spark):
+    rows = [(i, "http://deep.org/", page) for i, (page, _) in enumerate(DEEP.values())]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(df).collect()}
+    assert [got[i] for i in sorted(got)] == [text for _, text in DEEP.values()]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for page, text in DEEP.values():
+        assert Page(page).text() == text
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500 << 10
+
+
 def test_given_pages(spark):
     from corvane.llm.queries import QUERIES
 
@@ -35,4 +88,4 @@ def test_given_pages(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op3_html_extraction"](spark, SF).collect():
         inside = pages[r.page_id].partition("<article>")[2].partition("</article>")[0]
-        assert text_of(blocks(inside), None) == r.text and len(r.text) == r.n_chars > 0
+        assert Page(inside).text() == r.text and len(r.text) == r.n_chars > 0

@@ -8,7 +8,7 @@ from ..scratch import Scratch
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(id, component): the smallest id that each end of ``edges`` (a, b: long) reaches.
+    """(id, component): the smallest id that each end of ``edges`` (a, b: one type that orders) reaches.
 
     Every round takes the least label among a node and its neighbours, then
     follows labels once, so rounds grow with the logarithm of a path's length.
@@ -27,9 +27,23 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         new = moved.join(jump, moved["component"] == jump["at"]).select("id", F.least("component", "to").alias("component"), "was")
         new = scratch.save(new, f"{name}-{step + 1}")
         changed = new.where("component < was").limit(1).count()
-        scratch.drop(f"{name}-{step}-near")
-        scratch.drop(f"{name}-{step}")
+        scratch.drop(f"{name}-{step}-near", f"{name}-{step}")
         labels, step = new.select("id", "component"), step + 1
         if not changed:
             scratch.drop(f"{name}-edges")
             return labels
+
+
+def merged_components(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``labels`` (id, component) after more ``links`` (a, b): only the components that a link joins are worked on.
+
+    Ends that have no label yet get one.
+    """
+    named = links.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
+    named = scratch.save(named.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), f"{name}-links")
+    moved = connected_components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), scratch, f"{name}-of").toDF("component", "to")
+    ends = named.select(F.col("a").alias("id"), F.col("ca").alias("component")).union(named.select("b", "cb"))
+    every = labels.union(ends.join(labels, "id", "left_anti")).distinct()
+    out = scratch.save(every.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), name)
+    scratch.drop(f"{name}-links")
+    return out

@@ -11,6 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from ..scratch import Scratch
 
 U64 = np.uint64
 #: Bytes of text that are held as numpy temporaries at one time; one longer text is still taken whole.
@@ -113,3 +116,18 @@ def lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(flat) if kind is np.int64 else flat.astype(kind)))
+
+
+def one_per_id(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with one row for each doc_id, that with the least text; rows with a null doc_id all stay.
+
+    Only ids are counted, so texts are shuffled where ids repeat and nowhere else.
+    """
+    torn = scratch.save(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "torn")
+    if not torn.limit(1).count():
+        return docs
+    others = [c for c in docs.columns if c != "doc_id"]
+    first = F.struct(F.col("text").isNotNull().alias("has"), *(F.col(c).alias(c) for c in ["text", *(c for c in others if c != "text")]))
+    chosen = docs.join(torn.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(first).alias("row"))
+    chosen = scratch.save(chosen.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns)), "chosen")
+    return docs.join(torn.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).union(chosen)

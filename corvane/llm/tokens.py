@@ -1,12 +1,12 @@
-"""Token counts with overlap resynchronisation for huge documents.
-
-Documents up to ``chunk`` characters are encoded whole: white space always ends
-a token of this vocabulary and carries none, so the library encodes each
-distinct piece between white space once for a batch. Longer documents are
-encoded in overlapping chunks with offsets. Two neighbouring chunks are spliced
-where a piece starts after white space inside the overlap and both encodings
-have a token that starts there: from such a place on both see the same pieces.
-Without one the overlap is widened and the chunk is encoded again.
+"""Token counts with overlap resynchronisation for long documents.
+
+Documents up to ``chunk`` characters, a few thousand, are encoded whole: white
+space always ends a token of this vocabulary and carries none, so the library
+encodes each distinct piece between white space once for a batch. Longer
+documents are encoded in overlapping chunks with offsets. Two neighbouring
+chunks are spliced where a piece starts after white space inside the overlap and
+both encodings have a token that starts there: from such a place on both see the
+same pieces. Without one the overlap is widened and the chunk is encoded again.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-CHUNK, OVERLAP, MOST_PIECES = 1 << 16, 1 << 9, 400_000
-#: Separators to Python's str.split() but not to the tokenizer's \s; texts that have one are encoded whole.
+CHUNK, OVERLAP, MOST_PIECES = 1 << 12, 1 << 7, 400_000
+#: Separators to Python's str.split() and \\s but not to the tokenizer's: they are parts of a piece.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-START = re.compile(r"(?<=\s)\S")
+PIECE, SPACE, START = re.compile(r"[\S\x1c-\x1f]+"), re.compile(r"[^\S\x1c-\x1f]"), re.compile(r"(?<=[^\S\x1c-\x1f])[\S\x1c-\x1f]")
 
 
 class Counter:
@@ -37,55 +37,51 @@ class Counter:
         self.tokenizer.no_padding()
         self.chunk, self.overlap, self.known = chunk, overlap, {}
 
-    def whole(self, text: str) -> int:
-        return len(self.tokenizer.encode(text, add_special_tokens=False))
-
     def starts(self, text: str, lo: int, hi: int) -> np.ndarray:
         """Where the tokens of text[lo:hi] start in the text."""
         offsets = self.tokenizer.encode(text[lo:hi], add_special_tokens=False).offsets
-        return np.array([s for s, _ in offsets], dtype=np.int64) + lo
+        return np.fromiter((s for s, _ in offsets), dtype=np.int64, count=len(offsets)) + lo
 
-    def spliced(self, text: str) -> int:
-        lo, hi, total = 0, self.chunk, 0
+    def spliced(self, text: str) -> tuple[int, int]:
+        """Tokens of a text and the chunks that were spliced to count them."""
+        lo, hi, total, chunks = 0, min(self.chunk, len(text)), 0, 1
         own = self.starts(text, lo, hi)
         while hi < len(text):
             overlap = self.overlap
             while True:
                 back = max(hi - overlap, lo)
-                far = min(back + self.chunk, len(text))
+                far = min(back + max(self.chunk, 2 * (hi - back)), len(text))
                 after = self.starts(text, back, far)
                 place = self.common(text, back, hi, own, after)
                 if place is not None:
                     break
-                if back == lo:  # no stable place in all of this chunk: it grows
-                    hi = min(hi + self.chunk, len(text))
-                    own = self.starts(text, lo, hi)
+                if back == lo:  # no stable place in all of this chunk: the longer one takes its place
+                    own, hi = after, far
                     if hi == len(text):
-                        return total + len(own)
+                        return total + len(own), chunks
                 overlap *= 2
             total += int((own < place).sum())
-            own, lo, hi = after[after >= place], place, far
-        return total + len(own)
+            own, lo, hi, chunks = after[after >= place], place, far, chunks + 1
+        return total + len(own), chunks
 
     @staticmethod
     def common(text: str, lo: int, hi: int, a: np.ndarray, b: np.ndarray) -> int | None:
         """The first piece start in (lo, hi) at which both encodings start a token, and after which the first one has a whole piece left."""
         both = set(np.intersect1d(a[a > lo], b).tolist())
         for m in START.finditer(text, lo + 1, hi):
-            if m.start() in both and re.search(r"\s", text[m.start() : hi]):
-                return m.start()
+            if m.start() in both:
+                return m.start() if SPACE.search(text, m.start(), hi) else None
         return None
 
-    def counts(self, texts: list[str]) -> list[int]:
-        out = [0] * len(texts)
+    def counts(self, texts: list[str]) -> tuple[list[int], list[int]]:
+        """Tokens and chunks of each text."""
+        out, chunks = [0] * len(texts), [1] * len(texts)
         known, split = self.known, []
         for i, t in enumerate(texts):
-            if ODD_SPACE.search(t):
-                out[i] = self.whole(t)
-            elif len(t) > self.chunk:
-                out[i] = self.spliced(t)
+            if len(t) > self.chunk:
+                out[i], chunks[i] = self.spliced(t)
             else:
-                split.append((i, t.split()))
+                split.append((i, PIECE.findall(t) if ODD_SPACE.search(t) else t.split()))
         new = list({p for _, s in split for p in s} - known.keys())
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
@@ -95,7 +91,7 @@ class Counter:
             out[i] = sum(map(known.__getitem__, s))
         if len(known) > MOST_PIECES:
             known.clear()
-        return out
+        return out, chunks
 
 
 def _count(path: str, chunk: int, overlap: int):
@@ -103,24 +99,30 @@ def _count(path: str, chunk: int, overlap: int):
         counter = None
         for batch in batches:
             counter = counter or Counter(path, chunk, overlap)
-            n, sizes = [], []
+            n, chunks, sizes = [], [], []
             part, size = [], 0
+
+            def flush() -> None:
+                for all_, some in zip((n, chunks), counter.counts(part), strict=True):
+                    all_.extend(some)
+                part.clear()
+
             for t in batch.column(1):
                 t = t.as_py() or ""
                 sizes.append(len(t.encode("utf-8", "surrogatepass")))
                 part.append(t)
                 size += len(t)
                 if size > 4 << 20:
-                    n += counter.counts(part)
-                    part, size = [], 0
-            n += counter.counts(part)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+                    flush()
+                    size = 0
+            flush()
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, n, chunks))], ["doc_id", "n_bytes", "n_tokens", "chunks"])
 
     return run
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, *, limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) for each row.
+    """(doc_id, n_bytes, n_tokens, chunks, over_limit) for each row; ``chunks`` of more than 1 tells that the count was spliced.
 
     Counts are those of the library for the whole text, with no special tokens added and special
     strings inside a text handled as it does by default. Null and empty texts have 0 bytes and tokens.
@@ -128,5 +130,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, limit: int = 2048, chu
     white space between tokens; ``tokenizer_path`` must be readable on the executors.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_count(tokenizer_path, chunk, overlap), f"doc_id {kind}, n_bytes long, n_tokens long")
+    counted = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_count(tokenizer_path, chunk, overlap), f"doc_id {kind}, n_bytes long, n_tokens long, chunks long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

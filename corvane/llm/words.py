@@ -126,8 +126,17 @@ def one_per_id(docs: DataFrame, scratch: Scratch) -> DataFrame:
     torn = scratch.save(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "torn")
     if not torn.limit(1).count():
         return docs
-    others = [c for c in docs.columns if c != "doc_id"]
-    first = F.struct(F.col("text").isNotNull().alias("has"), *(F.col(c).alias(c) for c in ["text", *(c for c in others if c != "text")]))
-    chosen = docs.join(torn.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(first).alias("row"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(F.col("text").isNull().alias("none"), *(F.col(f"`{c}`").alias(c) for c in ["text", *others]))
+    chosen = docs.join(torn.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row"))
     chosen = scratch.save(chosen.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns)), "chosen")
     return docs.join(torn.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).union(chosen)
+
+
+def with_repeats(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` about the documents of ``one_per_id``, each as often as its doc_id stood in the input."""
+    if "chosen" not in scratch.names:
+        return rows
+    torn = scratch.spark.read.parquet(scratch.path("torn"))
+    more = torn.select("doc_id", F.explode(F.sequence(F.lit(2), F.col("times"))).alias("__n"))
+    return rows.union(rows.join(more, "doc_id").select(*rows.columns))

@@ -58,13 +58,15 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``df`` written and read back; one folder for each value of ``by``."""
         self.names.add(name)
         conf = self.spark.conf
         before = conf.get(CLEANUP, None)
         conf.set(CLEANUP, "true")
         try:
-            df.write.mode("overwrite").parquet(self.path(name))
+            writer = df.write.mode("overwrite")
+            (writer.partitionBy(by) if by else writer).parquet(self.path(name))
         finally:
             if before is None:
                 conf.unset(CLEANUP)

@@ -78,8 +78,9 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = warc.write_archives(table(spark, sf_dir, "pages"), Scratch(spark, "archives").root)
-    return warc.read_captures(shards)
+    pages, root = table(spark, sf_dir, "pages"), Scratch(spark, "archives").root
+    warc.write_archives(pages, root)
+    return warc.look_up(pages.select(warc.url_key(F.col("url")).alias("key")), root)
 
 
 @query

@@ -3,15 +3,18 @@
 All rules' characters lie side by side in the bits of a few 64-bit words
 (Shift-And). A step shifts every rule's states at once, keeps those whose next
 character matches, and lets states at a wildcard stay. A batch of URLs takes
-each step together.
+each step together; the few that are much longer than the rest go on one by one.
 
 A URL is matched as host, SEP, path. In a rule ``*`` stands for any characters
-within host or path, ``**`` for any characters at all.
+within host or path, ``**`` for any characters at all. Rules given as host and
+path see both as they stand in the URL; globs see its canonical form.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SEP = "\n"  # in rules; in URLs the boundary is no character, so none can imitate it
 _BOUNDARY = 0x110000
+#: URLs that a step is taken for together; fewer go on one by one.
+TOGETHER = 16
+_ESCAPE = re.compile("%([0-9A-Fa-f]{2})")
+_PLAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -31,6 +38,49 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, upper, upper.lower()), path
 
 
+def canonical(host: str, path: str, query: str) -> tuple[str, str]:
+    """Host and path in the form that globs are matched against.
+
+    The host loses a user part, a port and dots at its end. In the path, escapes of plain characters are decoded and
+    others put in capitals, ``.`` and ``..`` are resolved, runs of slashes become one; an empty path is ``/``. A query
+    follows it after a question mark, its escapes treated alike.
+    """
+    host = host.rpartition("@")[2]
+    host = re.sub(r":[0-9]*\Z", "", host).rstrip(".")
+    decode = lambda m: c if (c := chr(int(m[1], 16))) in _PLAIN else m[0].upper()
+    if "%" in path:
+        path = _ESCAPE.sub(decode, path)
+    if "//" in path or "/." in path:
+        out: list[str] = []
+        parts_ = path.split("/")
+        for part in parts_:
+            if part == "..":
+                if out:
+                    out.pop()
+            elif part not in ("", "."):
+                out.append(part)
+        path = "/" + "/".join(out) + ("/" if out and parts_[-1] in ("", ".", "..") else "")
+    return host, (path or "/") + ("?" + _ESCAPE.sub(decode, query) if query else "")
+
+
+def read_globs(file: str | Path) -> list[str]:
+    """The globs of a file such as ``url_globs.txt``."""
+    out, section = [], "[globs]"
+    for line in Path(file).read_text(encoding="utf-8").splitlines():
+        line = line.strip()
+        if line.startswith("["):
+            section = line
+        elif not line or line.startswith("#"):
+            continue
+        elif section == "[words]":
+            out += [f"{before}{w}{after}*{SEP}**" for w in line.split() for before in ("", "*.", "*-") for after in (".", "-")]
+        elif section == "[folders]":
+            out += [f"*{SEP}/{before}{w}/**" for w in line.split() for before in ("", "**/")]
+        else:
+            out.append(line.replace("/", SEP + "/", 1))
+    return out
+
+
 class Wildcards:
     """An automaton of glob rules; ``match`` tells for each URL which rules fit all of it."""
 
@@ -85,6 +135,10 @@ class Wildcards:
         for step in range(int(sizes[0]) if len(sizes) else 0):
             while live and sizes[live - 1] <= step:
                 live -= 1
+            if live < TOGETHER:
+                for i in range(live):
+                    state[i] = self._alone(state[i], cls[base[i] + step : base[i] + sizes[i]], edge[base[i] + step : base[i] + sizes[i]])
+                break
             d, here = state[:live], base[:live] + step
             moved = d << one
             moved[:, 1:] |= d[:, :-1] >> top
@@ -94,6 +148,15 @@ class Wildcards:
         return out
 
 
+    def _alone(self, state: np.ndarray, cls: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """The same steps for one URL, all masks as whole numbers."""
+        whole = lambda words: int.from_bytes(np.ascontiguousarray(words, dtype="<u8").tobytes(), "little")
+        enter, stay, d = [whole(x) for x in self.enter], [whole(x) for x in self.stay], whole(state)
+        for c, e in zip(cls.tolist(), edge.tolist(), strict=True):
+            d = (d << 1) & enter[c] | d & stay[e]
+        return np.frombuffer(d.to_bytes(8 * self.words, "little"), dtype="<u8")
+
+
 def globs(host: str, path: str) -> list[str]:
     """A rule on a host and all its subdomains and on a path's start."""
     return [f"{host}{SEP}{path}**", f"*.{host}{SEP}{path}**"]
@@ -101,23 +164,29 @@ def globs(host: str, path: str) -> list[str]:
 
 def _judge(rules: list[tuple[str, str, str]], blocked: list[str]):
     patterns = [g for _, host, path in rules for g in globs(host, path)] + blocked
+    length = np.array([len(h) + len(p) for _, h, p in rules])
+    n = len(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Wildcards(patterns)
         for batch in batches:
-            hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             rule, verdict = [], []
-            for lo in range(0, len(hosts), 4096):
-                fits = automaton.match(hosts[lo : lo + 4096], paths[lo : lo + 4096])
-                n = len(rules)
+            for lo in range(0, batch.num_rows, 4096):
+                hosts, paths, queries = (batch.column(k).slice(lo, 4096).to_pylist() for k in (1, 2, 3))
+                clean = [canonical(h, p, q) for h, p, q in zip(hosts, paths, queries, strict=True)]
+                fits = automaton.match([h for h, _ in clean], [p for _, p in clean])
+                bad = fits[:, 2 * n :].any(axis=1)
+                # rules are about host and path as given
+                other = [i for i, (h, p) in enumerate(clean) if h != hosts[i] or p != paths[i]]
+                if other:
+                    fits[other] = automaton.match([hosts[i] for i in other], [paths[i] for i in other])
                 ruled = fits[:, : 2 * n].reshape(len(fits), n, 2).any(axis=2)
-                length = np.array([len(h) + len(p) for _, h, p in rules])
                 best = np.where(ruled, length[None, :], -1).argmax(axis=1) if n else np.zeros(len(fits), dtype=int)
-                has, bad = ruled.any(axis=1), fits[:, 2 * n :].any(axis=1)
+                has = ruled.any(axis=1)
                 for i in range(len(fits)):
                     rule.append(rules[best[i]][1] + rules[best[i]][2] if has[i] else None)
-                    verdict.append(rules[best[i]][0] if has[i] else "block" if bad[i] else "allow")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+                    verdict.append(rules[best[i]][0] if has[i] else "block" if hosts[i] and bad[i] else "allow")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     return run
 
@@ -127,9 +196,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: lis
 
     ``rules`` are (allow or block, host, path): a rule fits its host, all subdomains and every path that
     starts with its own; the longest that fits decides, of equals the first. Other URLs are blocked
-    if one of the globs ``blocked`` fits and allowed otherwise. A null URL or one without ``://``
-    has an empty host and path. Rows repeat as in the input.
+    if one of the globs ``blocked`` fits their canonical form and allowed otherwise. A null URL or one without ``://``
+    has an empty host and path, and no glob fits it. Rows repeat as in the input.
     """
     host, path = parts(F.col("url").cast("string"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", host.alias("host"), path.alias("path")).mapInArrow(_judge(list(rules), list(blocked)), f"page_id {kind}, host string, path string, rule string, verdict string")
+    query = F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
+    return pages.select("page_id", host.alias("host"), path.alias("path"), query.alias("query")).mapInArrow(_judge(list(rules), list(blocked)), f"page_id {kind}, host string, path string, rule string, verdict string")

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from corvane.llm.queries import ORACLE, QUERIES, URL_BLOCKED, URL_RULES
-from corvane.llm.urls import Wildcards, judge_urls
+from corvane.llm.urls import Wildcards, canonical, judge_urls
 
 from ..oracle import check
 
@@ -32,6 +32,31 @@ def test_edges(spark):
     assert judge_urls(df.limit(1), []).first().verdict == "allow"
 
 
+def test_canonical_form():
+    for given, want in {
+        ("u:p@a.org:8080", "/x/./y/../z//w", ""): ("a.org", "/x/z/w"), ("a.org.", "", ""): ("a.org", "/"), ("a.org:", "/%7euser/%2f%e9", "q=%41&r=%3d"): ("a.org", "/~user/%2F%E9?q=A&r=%3D"), ("[::1]:80", "/../..", ""): ("[::1]", "/"), ("a", "/b/.", ""): ("a", "/b/"),
+    }.items():
+        assert canonical(*given) == want
+        assert canonical(*want, "")[0] == want[0]
+
+
+def test_globs_see_the_canonical_url(spark):
+    bad = ["http://x.casino.org/", "http://free-bets.org", "http://u@ads.x.org:80/", "http://ok.org/a/%77p-login.php", "http://ok.org/b/../cart/1", "http://ok.org/x?PHPSESSID=1&phpsessid=2", "http://ok.org/f/tool.exe#x", "http://spam-farm.org/y"]
+    good = ["http://roads-today.org/", "http://uploads-x.org/", "http://casinos.org/", "http://ok.org/cartoon/", "http://ok.org/exe", "http://ok.org/ads/x", "http://a.org/?u=http://casino.org/", "http://ok.org/a.exe?x", None, "casino.org/"]
+    rows = [(i, u) for i, u in enumerate(bad + good)]
+    got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), [], URL_BLOCKED).collect()}
+    assert [u for i, u in rows if (got[i] == "block") != (u in bad)] == []
+
+
+def test_a_huge_url():
+    import time
+
+    began = time.time()
+    w = Wildcards(URL_BLOCKED)
+    assert w.match(["a.org"] * 3, ["/" + "p" * 2_000_000 + ".exe", "/" + "q" * 2_000_000, "/"]).any(axis=1).tolist() == [True, False, False]
+    assert time.time() - began < 20
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 65, 200])
 def test_words_of_masks(n):
     w = Wildcards(["a" * n + "\n", "*" + "a" * n + "b\n**"])

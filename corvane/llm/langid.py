@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 ORDER = 3
-#: Bounds of the labelled sample that the trees are fitted on, whatever the input's size.
+#: Bounds of the labelled sample that the trees are fitted on, whatever the input's size; more languages are an error.
 SAMPLE_PER_LANG, MAX_LANGS = 400, 200
 _UPPER = re.compile(r"[^\W\d_]+")
 _CHUNK = 1 << 19
@@ -122,15 +122,17 @@ def fit(docs: DataFrame, *, order: int = ORDER, sample_per_lang: int = SAMPLE_PE
 
     The sample is every row whose text's hash lies under a threshold that lets about
     ``sample_per_lang`` rows of each language through: one pass, no sort, the same rows in every run.
-    Languages beyond the ``max_langs`` most frequent are left out.
+    More than ``max_langs`` languages raise an error, since the tables grow with their number; none is left out.
     """
     labelled = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND lang <> ''")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
     if not sizes:
         return None
+    if len(sizes) > max_langs:
+        raise ValueError(f"lang has more than {max_langs} values: raise max_langs, or map rare and mistyped ones to null first")
     langs = sorted(sizes)
     share = F.element_at(F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample_per_lang / sizes[k]))))), F.col("lang"))
-    sample = labelled.where(F.col("lang").isin(langs)).where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20)) < share)
+    sample = labelled.where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20)) < share)
     rows = sample.mapInArrow(_counts(order), "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(rows):
         return None

@@ -26,6 +26,10 @@ CAPACITY, GROUPS, SALTS, ROWS_PER_SALT = 2048, 512, 256, 1_000_000
 SAFE = 0x250
 
 
+#: Fixed value: how a ByteLevel pre-tokenizer with use_regex splits.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Encoder:
     """Token ids of texts, as ``tokenizers`` gives them for ``path`` with add_special_tokens=False.
 
@@ -47,14 +51,23 @@ class Encoder:
         self.exact.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.fast = self._fast(spec, tiktoken)
+
+    @staticmethod
+    def _fast(spec: dict, tiktoken):
+        """The same vocabulary as ranks; None unless the file says that it splits, merges and looks for special tokens as that library does."""
+        model, split = spec["model"], spec["pre_tokenizer"] or {}
+        plain = not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        simple = not any(x[y] for x in spec["added_tokens"] for y in ("single_word", "lstrip", "rstrip", "normalized"))
+        if spec["normalizer"] or model["type"] != "BPE" or not plain or not simple or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+            return None
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         byte = _byte_of_char()
-        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        return tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(self, text: str) -> list[int]:
-        if text.isascii() or max(map(ord, set(text))) < SAFE:
+        if self.fast and (text.isascii() or max(map(ord, set(text))) < SAFE):
             return self.fast.encode(text, allowed_special="all")
         return self.exact.encode(text, add_special_tokens=False).ids
 

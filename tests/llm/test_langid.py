@@ -63,3 +63,12 @@ def test_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert langid.fit(empty) is None and langid.predict(empty, None).count() == 0
     assert langid.predict(df.limit(1), None).first().lang_pred == "und"
+
+
+def test_too_many_languages_are_an_error(spark):
+    import pytest
+
+    df = spark.createDataFrame([(f"l{i}", "some words") for i in range(4)], "lang string, text string")
+    assert langid.fit(df, max_langs=4) is not None
+    with pytest.raises(ValueError, match="more than 3"):
+        langid.fit(df, max_langs=3)

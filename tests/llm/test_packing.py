@@ -62,3 +62,23 @@ def test_pieces(spark):
         by[r.sequence_id] = r.offset + r.length
     assert max(by.values()) <= 2048 and sum(r.doc_id == 2 for r in rows) == 2 and sum(r.doc_id is None for r in rows) == 1
     assert pack(df.limit(0), PATH).count() == 0
+
+
+def test_other_vocabularies_take_the_library_itself(tmp_path):
+    import json
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert Encoder(path).fast is not None
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    other = Encoder(str(tmp_path / "other.json"))
+    assert other.fast is None and other.ids("word") == Encoder(path).ids(" word")
+
+
+def test_a_very_long_word_and_text(spark):
+    texts = ["x" * 100_000, "lorem ipsum " * 300_000]
+    got = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json")).groupBy("doc_id").agg({"length": "sum"}).collect()
+    exact = Encoder(public_tokenizers.path("byte_bpe_50k.json")).exact
+    assert dict(map(tuple, got)) == {i: len(exact.encode(t, add_special_tokens=False)) + 1 for i, t in enumerate(texts)}

@@ -17,7 +17,9 @@ from ..scratch import Scratch
 
 U64 = np.uint64
 #: Bytes of text that are held as numpy temporaries at one time; one longer text is still taken whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of words that are hashed at one time.
+BLOCK = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,6 +46,20 @@ _SEP = np.zeros(256, dtype=bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
 
 
+def _word_hashes(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, lower: bool) -> np.ndarray:
+    before = np.cumsum(lens) - lens
+    at = np.arange(int(lens.sum()), dtype=np.int64)
+    place = at - np.repeat(before, lens)
+    data = buf[at + np.repeat(starts - before, lens)]
+    if lower:
+        data = _LOWER[data]
+    values = _TABLE[((place & 63) << 8) | data]
+    with np.errstate(over="ignore"):
+        if lens.max() > 64:
+            values = values * (2 * (place >> 6) + 1).astype(U64)
+        return mix(np.add.reduceat(values, before) + lens.astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
 class Words:
     """The words of a slice of texts: byte ranges, 64-bit hashes and each text's first word."""
 
@@ -61,17 +77,12 @@ class Words:
         if not len(lens):
             self.hashes = np.zeros(0, dtype=U64)
             return
-        before = np.cumsum(lens) - lens
-        at = np.arange(int(lens.sum()), dtype=np.int64)
-        place = at - np.repeat(before, lens)
-        data = buf[at + np.repeat(self.starts - before, lens)]
-        if lower:
-            data = _LOWER[data]
-        values = _TABLE[((place & 63) << 8) | data]
-        with np.errstate(over="ignore"):
-            if lens.max() > 64:
-                values = values * (2 * (place >> 6) + 1).astype(U64)
-            self.hashes = mix(np.add.reduceat(values, before) + lens.astype(U64) * U64(0x9E3779B97F4A7C15))
+        self.hashes = np.empty(len(lens), dtype=U64)
+        done, ends = 0, np.cumsum(lens)
+        while done < len(lens):
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + BLOCK, side="right")))
+            self.hashes[done:upto] = _word_hashes(buf, self.starts[done:upto], lens[done:upto], lower)
+            done = upto
 
     def of(self, i: int) -> np.ndarray:
         return self.hashes[self.first[i] : self.first[i + 1]]

@@ -132,6 +132,55 @@ def fit_to_budget(text: Column, tokens: Column) -> Column:
     return F.substring(text, F.lit(1), (tokens * 4).cast("int"))
 
 
+def over_budget(text: Column, tokens: Column) -> Column:
+    """Whether ``fit_to_budget`` cuts something off."""
+    return F.length(text) > tokens * 4
+
+
+def location(page: Column, start_line: Column, end_line: Column | None = None) -> Column:
+    """``page n``, else ``line n`` or, with an end, ``lines n-m``; empty without either."""
+    line = F.concat(F.lit("line "), start_line.cast("string")) if end_line is None else F.concat(F.lit("lines "), start_line.cast("string"), F.lit("-"), end_line.cast("string"))
+    return F.when(page > 0, F.concat(F.lit("page "), page.cast("string"))).when(start_line > 0, line).otherwise("")
+
+
+def reference(path: Column, page: Column, start_line: Column) -> Column:
+    """``path:line``, or ``path (page n)``."""
+    return F.concat(path, F.when(page > 0, F.concat(F.lit(" (page "), page.cast("string"), F.lit(")"))).when(start_line > 0, F.concat(F.lit(":"), start_line.cast("string"))).otherwise(""))
+
+
+def says_little(caption: Column, text: Column) -> Column:
+    """An image without a caption and with hardly any readable text."""
+    return (F.coalesce(F.trim(caption), F.lit("")) == "") & low_content(text)
+
+
+def low_content(text: Column, least_chars: int = 40, least_quality: float = 0.5) -> Column:
+    return F.coalesce((content_chars(text) < least_chars) | (ocr_quality(text) < least_quality), F.lit(True))
+
+
+def model_name(name: Column) -> Column:
+    """Lower-cased, with the tag ``latest`` if the last part has none."""
+    low = F.lower(F.trim(name))
+    return F.when(F.element_at(F.split(low, "/"), -1).contains(":"), low).otherwise(F.concat(low, F.lit(":latest")))
+
+
+def model_family(name: Column) -> Column:
+    return F.regexp_replace(model_name(name), ":[^:]*$", "")
+
+
+def cost(prompt_tokens: Column, completion_tokens: Column, price_in: Column, price_out: Column) -> Column:
+    """Of prices per million tokens; 0 for models without a price."""
+    return F.coalesce((prompt_tokens * price_in + completion_tokens * price_out) / 1e6, F.lit(0.0))
+
+
+def month_start(at: Column) -> Column:
+    return F.date_trunc("month", at)
+
+
+def fenced(text: Column, token: str) -> Column:
+    """Untrusted text between two lines that no text of the prompt holds; ``fence_token`` finds one."""
+    return F.concat(F.lit(f"<<<{token}\n"), text, F.lit(f"\n{token}>>>"))
+
+
 def snippet(text: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(body(text), r"\s+", " ")), 1, 260)
 
@@ -164,25 +213,38 @@ def looks_generated(text: Column, most: int = 300) -> Column:
     return (text != "") & (marked | (F.length(text) / F.size(lines) > most))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def token_kind(raw: Column) -> Column:
+    """What a run without white space is to ``ocr_quality``: junk, number or word."""
+    bare = F.regexp_replace(raw, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    letters = lambda w: F.regexp_replace(w, r"[^\p{L}]+", "")
+    number = lambda w: w.rlike(r"^[0-9.,:/$€£%+\-]+$") & w.rlike("[0-9][^0-9]*[0-9]")
+
+    def real(x: Column) -> Column:
+        n = F.length(x)
+        most = F.array_max(F.transform(F.array_distinct(F.split(x, "")), lambda c: n - F.length(F.replace(x, c, F.lit("")))))
+        # only a letter that stands twice can make up most of a longer word
+        mixed = (n < 3) | ~x.rlike(r"(?s)(.).*\1") | (most / n < 0.6)
+        return (n >= 2) & x.rlike(r"[aeiouyAEIOUY]|[^\x00-\x7F]") & mixed
+
+    plain = lambda w: w.rlike(r"^\p{L}+$")
+    word = lambda w: let(F.when(plain(w), w).otherwise(letters(w)), real)
+    return let(bare, lambda w: F.when(w == "", "junk").when(number(w), "number").when(word(w), "word").otherwise("junk"))
+
+
+def quality_of(words: Column, junk: Column, numbers: Column) -> Column:
+    return F.when(words + junk == 0, F.when(numbers > 0, 1.0).otherwise(0.0)).otherwise(words / (words + junk))
+
+
 def ocr_quality(text: Column) -> Column:
     """Words over words and junk; numbers are neither. A word has two letters, a vowel and no letter that makes most of it."""
     tokens = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    bare = lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-
-    def kind(raw: Column) -> Column:
-        w = bare(raw)
-        letters = F.regexp_replace(w, r"[^\p{L}]", "")
-        n = F.length(letters)
-        number = w.rlike(r"^[0-9.,:/$€£%+\-]+$") & (F.length(F.regexp_replace(w, "[^0-9]", "")) >= 2)
-        most = F.array_max(F.transform(F.array_distinct(F.split(letters, "")), lambda c: n - F.length(F.replace(letters, c, F.lit("")))))
-        real = (n >= 2) & letters.rlike(r"[aeiouyAEIOUY]|[^\x00-\x7F]") & ((n < 3) | (most / n < 0.6))
-        return F.when(w == "", "junk").when(number, "number").when(real, "word").otherwise("junk")
-
-    def share(kinds: Column) -> Column:
-        of = lambda x: F.size(F.filter(kinds, lambda k: k == x))
-        return F.when(of("word") + of("junk") == 0, F.when(of("number") > 0, 1.0).otherwise(0.0)).otherwise(of("word") / (of("word") + of("junk")))
-
-    return F.transform(F.array(F.transform(tokens, kind)), share)[0]
+    of = lambda kinds, x: F.size(F.filter(kinds, lambda k: k == x))
+    return let(F.transform(tokens, token_kind), lambda k: quality_of(of(k, "word"), of(k, "junk"), of(k, "number")))
 
 
 def cosine(a: Column, b: Column) -> Column:

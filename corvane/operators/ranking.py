@@ -9,10 +9,10 @@ from ..settings import SEARCH, Search
 
 def file_evidence(chunks: DataFrame) -> DataFrame:
     """Per (qid, path): best and second fused score (0 if none), best similarity, best coverage, chunks."""
-    two = F.slice(F.reverse(F.sort_array(F.collect_list("score"))), 1, 2)
-    of = lambda i: F.greatest(F.coalesce(F.try_element_at("two", F.lit(i)), F.lit(0.0)), F.lit(0.0))
-    grouped = chunks.groupBy("qid", "path").agg(two.alias("two"), F.max("similarity").alias("similarity"), F.max(F.coalesce("coverage", F.lit(0.0))).alias("coverage"), F.count(F.lit(1)).alias("chunks"))
-    return grouped.select("qid", "path", of(1).alias("best"), of(2).alias("second"), "similarity", "coverage", "chunks")
+    order = Window.partitionBy("qid", "path").orderBy(F.desc_nulls_last("score"))
+    numbered = chunks.withColumn("__n", F.row_number().over(order))
+    nth = lambda i: F.greatest(F.coalesce(F.max(F.when(F.col("__n") == i, F.col("score"))), F.lit(0.0)), F.lit(0.0))
+    return numbered.groupBy("qid", "path").agg(nth(1).alias("best"), nth(2).alias("second"), F.max("similarity").alias("similarity"), F.max(F.coalesce("coverage", F.lit(0.0))).alias("coverage"), F.count(F.lit(1)).alias("chunks"))
 
 
 def file_score(cfg: Search = SEARCH) -> Column:

@@ -13,6 +13,11 @@ def extension_of(ext: Column, path: Column) -> Column:
     return F.lower(F.coalesce(F.nullif(ext, F.lit("")), F.when(found != "", F.concat(F.lit("."), found)).otherwise("")))
 
 
+def extension_counts(results: DataFrame) -> DataFrame:
+    """(ext, n) of results (ext, path), the most frequent first."""
+    return results.groupBy(extension_of(F.col("ext"), F.col("path")).alias("ext")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ext")
+
+
 def refine(results: DataFrame, ext: str | None = None, order: str = "relevance") -> DataFrame:
     """Results (path, ext, position, indexed_at) of one extension with ``shown``: their place by relevance, date or name; ties keep the search's order."""
     kept = results if ext is None else results.where(extension_of(F.col("ext"), F.col("path")) == ext.lower())

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..settings import DIM, SEARCH, Search
 
+#: Queries of one pass over the vectors.
+QUERIES = 4096
+
 
 def top(df: DataFrame, key: str, k: int, *order: Column, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each ``key``; Spark limits each group before the shuffle."""
@@ -20,26 +28,64 @@ def slots(df: DataFrame, key: str, text: Column, dim: int = DIM) -> DataFrame:
     return word.select(key, slot.alias("slot")).groupBy(key, "slot").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vector_leg(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(qid, doc_id, similarity, vector_rank): top ``k`` by cosine of ``slots`` tables (qid or doc_id, slot, n).
-
-    Only slots that both have meet, so no pair of all queries and documents is formed beyond those that share one.
-    """
-    norm = lambda d, key: d.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
-    dot = queries.select("qid", "slot", F.col("n").alias("qn")).join(docs, "slot").groupBy("qid", "doc_id").agg(F.sum(F.col("qn") * F.col("n")).cast("double").alias("dot"))
-    qn, dn = norm(queries, "qid"), norm(docs, "doc_id")
-    sim = dot.join(qn.withColumnRenamed("norm", "a"), "qid").join(dn.withColumnRenamed("norm", "b"), "doc_id").select("qid", "doc_id", F.round(F.col("dot") / (F.col("a") * F.col("b")), 6).alias("similarity"))
-    return top(sim, "qid", k, F.desc("similarity"), F.asc("doc_id"), rank="vector_rank")
-
+def bags(slot_rows: DataFrame, key: str, dim: int = DIM) -> DataFrame:
+    """(key, vector): ``slots`` rows as one vector for each text."""
+    counts = F.map_from_entries(F.collect_list(F.struct("slot", F.col("n").cast("double"))))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("counts", i), F.lit(0.0)))
+    return slot_rows.groupBy(key).agg(counts.alias("counts")).select(key, filled.alias("vector"))
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(qid, vec_id, similarity, rank): exact cosine top ``k`` of dense vectors.
 
-    Every query meets every vector, which a flat scan is; the queries travel, so keep them few.
+def vector_leg(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, similarity, vector_rank): top ``k`` by cosine of ``bags`` tables (qid or doc_id, vector); pairs without a common slot are left out."""
+    found = nearest(queries.withColumnRenamed("vector", "query"), docs.select(F.col("doc_id").alias("vec_id"), F.col("vector").alias("embedding")), k, itself=True)
+    return found.where("similarity > 0").select("qid", F.col("vec_id").alias("doc_id"), "similarity", F.col("rank").alias("vector_rank"))
+
+
+def _scan(qids: list, matrix: np.ndarray, k: int, itself: bool):
+    """Of each batch of vectors the ``k`` nearest of every query, as a block of rows against the block of queries."""
+    norms = np.sqrt((matrix * matrix).sum(axis=1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width = matrix.shape[1]
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            norm = np.sqrt((v * v).sum(axis=1))
+            for lo in range(0, len(v), 4096):
+                part, ids = v[lo : lo + 4096], batch.column(0).slice(lo, 4096)
+                scale = norm[lo : lo + 4096, None] * norms[None, :]
+                sim = np.round(np.divide(part @ matrix.T, scale, out=np.zeros((len(part), len(qids))), where=scale > 0), 6)
+                names = np.array(ids.to_pylist())
+                for q, qid in enumerate(qids):
+                    column = sim[:, q]
+                    keep = np.arange(len(part)) if itself else np.flatnonzero(names != qid)
+                    if len(keep) > k:
+                        # all that tie with the k-th stay, so that the last sort can decide
+                        keep = keep[column[keep] >= np.partition(column[keep], len(keep) - k)[len(keep) - k]]
+                    yield pa.RecordBatch.from_arrays([pa.array([qid] * len(keep)), ids.take(pa.array(keep)), pa.array(column[keep])], ["qid", "vec_id", "similarity"])
+
+    return run
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, itself: bool = False) -> DataFrame:
+    """(qid, vec_id, similarity, rank): exact cosine top ``k`` of dense vectors (vec_id, embedding) for ``queries`` (qid, query).
+
+    A flat scan: one pass over the vectors for each block of ``QUERIES`` queries, which travel to the tasks; every batch
+    gives its ``k`` best of each query. A vector is not its own neighbour unless ``itself``.
     """
-    pairs = vectors.join(queries, F.col("vec_id") != F.col("qid"))
-    scored = pairs.select("qid", "vec_id", F.round(T.cosine(F.col("embedding"), F.col("query")), 6).alias("similarity"))
-    return top(scored, "qid", k, F.desc("similarity"), F.asc("vec_id"))
+    first = vectors.schema["vec_id"].dataType.simpleString()
+    name = queries.schema["qid"].dataType.simpleString()
+    blocks = None
+    rows, block = queries.select("qid", "query").toLocalIterator(), []
+    for row in chain(rows, [None]):
+        if row is not None:
+            block.append(row)
+        if block and (row is None or len(block) == QUERIES):
+            matrix = np.array([r["query"] for r in block], dtype=np.float64)
+            found = vectors.select("vec_id", "embedding").where("embedding IS NOT NULL").mapInArrow(_scan([r["qid"] for r in block], matrix, k, itself), f"qid {name}, vec_id {first}, similarity double")
+            blocks, block = found if blocks is None else blocks.union(found), []
+    if blocks is None:
+        blocks = vectors.sparkSession.createDataFrame([], f"qid {name}, vec_id {first}, similarity double")
+    return top(blocks, "qid", k, F.desc("similarity"), F.asc("vec_id"))
 
 
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
@@ -52,17 +98,35 @@ def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
 
 def bm25_leg(queries: DataFrame, posts: DataFrame, k: int, cfg: Search = SEARCH) -> DataFrame:
     """(qid, doc_id, bm25, keyword_rank) of ``queries`` (qid, term); idf is ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    size = posts.select("doc_id", "dl").distinct().agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
-    hit = posts.join(queries.distinct(), "term")
-    df = hit.select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    size = posts.groupBy("doc_id").agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
+    asked = queries.distinct()
+    # only the queries' terms go on: a posting is one row for each term and document, so their count is the term's df
+    hit = posts.join(asked.select("term").distinct(), "term", "left_semi")
+    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     norm = F.col("tf") + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("dl") / F.col("avgdl"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # one row of sizes
-    part = hit.join(df, "term").join(F.broadcast(size)).select("qid", "doc_id", (idf * F.col("tf") * (cfg.bm25_k1 + 1) / norm).alias("part"))
-    scored = part.groupBy("qid", "doc_id").agg(F.round(F.sum("part"), 6).alias("bm25"))
+    part = hit.join(df, "term").join(F.broadcast(size)).select("term", "doc_id", (idf * F.col("tf") * (cfg.bm25_k1 + 1) / norm).alias("part"))
+    scored = part.join(asked, "term").groupBy("qid", "doc_id").agg(F.round(F.sum("part"), 6).alias("bm25"))
     return top(scored, "qid", k, F.desc("bm25"), F.asc("doc_id"), rank="keyword_rank")
 
 
+def name_leg(queries: DataFrame, files: DataFrame, seen: DataFrame) -> DataFrame:
+    """(qid, path, share, exact) of further files whose name answers a query (qid, query): ``files`` (path) not yet ``seen`` (qid, path).
+
+    Query terms and name words meet in an equi-join, words of four letters or more without a final s; what met is judged by the name functions.
+    """
+    root = lambda w: F.when(F.length(w) >= 4, F.regexp_replace(w, "s$", "")).otherwise(w)
+    name = T.file_name(F.col("path"))
+    whole = F.trim(F.regexp_replace(F.lower("query"), r"\s+", " "))  # a name as it stands, with or without its extension
+    asked = queries.select("qid", "query", F.explode(F.array_distinct(F.array_append(F.transform(T.query_terms(F.col("query")), root), whole))).alias("w"))
+    words = F.transform(F.split(T.name_words(F.col("path")), r"\s+"), root)
+    names = files.select("path").distinct().select("path", F.explode(F.array_distinct(F.concat(words, F.array(name, T.stem_of(name))))).alias("w"))
+    met = asked.join(names, "w").select("qid", "query", "path").distinct().join(seen, ["qid", "path"], "left_anti")
+    judged = met.select("qid", "path", T.name_share(F.col("path"), F.col("query")).alias("share"), T.name_exact(F.col("path"), F.col("query")).alias("exact"))
+    return judged.where("share > 0 OR exact")
+
+
 def fuse(vector: DataFrame, keyword: DataFrame, floor: float = 0.0, cfg: Search = SEARCH) -> DataFrame:
     """Both legs outer-joined: score = vector weight * scaled similarity + keyword weight * BM25 over the query's best."""
     best = F.max(F.coalesce("bm25", F.lit(0.0))).over(Window.partitionBy("qid"))

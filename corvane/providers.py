@@ -74,3 +74,55 @@ def requirements_schema() -> str:
 
 def as_json(**values: object) -> str:
     return json.dumps(values, ensure_ascii=False)
+
+
+# What an embedding model is told before a query and a document, and the similarity below which a match is hardly one, by model family.
+PROFILES = {
+    "qwen3-embedding": ("Instruct: Given a search query, retrieve relevant code and text passages that answer the query\nQuery: ", "", 0.50), "bge-m3": ("", "", 0.53), "nomic-embed-text": ("search_query: ", "search_document: ", 0.60),
+    "mxbai-embed-large": ("Represent this sentence for searching relevant passages: ", "", 0.54), "embeddinggemma": ("task: search result | query: ", "title: none | text: ", 0.30),
+}
+
+
+def with_prefix(texts: DataFrame, profiles: DataFrame, kind: str) -> DataFrame:
+    """``texts`` (model, text) with ``prefixed``: the prefix of the model's profile (model, query_prefix, document_prefix) before the text.
+
+    A profile with a tag is that of one model, one without a tag that of its whole family; the exact one wins, and models without one have none.
+    """
+    keyed = profiles.select(F.when(F.col("model").contains(":"), T.model_name(F.col("model"))).otherwise(F.lower(F.trim("model"))).alias("__key"), F.col(f"{kind}_prefix").alias("__prefix"))
+    exact, family = keyed.toDF("__m", "__pe"), keyed.toDF("__f", "__pf")
+    named = texts.withColumn("__m", T.model_name(F.col("model"))).withColumn("__f", T.model_family(F.col("model")))
+    found = named.join(exact, "__m", "left").join(family, "__f", "left")
+    return found.select(*texts.columns, F.concat(F.coalesce("__pe", "__pf", F.lit("")), "text").alias("prefixed"))
+
+
+def capabilities(models: DataFrame) -> DataFrame:
+    """(model, capabilities): one sorted list for each model of (model, capability) rows."""
+    return models.groupBy(T.model_name(F.col("model")).alias("model")).agg(F.sort_array(F.collect_set("capability")).alias("capabilities"))
+
+
+def resolve_models(roles: DataFrame, wishes: DataFrame, installed: DataFrame) -> DataFrame:
+    """(role, model, rule): of the models wished for a role (role, model, rule, place) the first that is installed (model, fits, size): pinned, then override, then the catalog's order if it fits; else the largest that fits."""
+    order = F.when(F.col("rule") == "pinned", 0).when(F.col("rule") == "override", 1).otherwise(2)
+    have = installed.select(T.model_name(F.col("model")).alias("key"), "model", "fits", "size")
+    wished = wishes.select("role", T.model_name(F.col("model")).alias("key"), "rule", "place").join(have, "key").where((F.col("rule") != "catalog") | F.col("fits"))
+    ranked = wished.select("role", "model", "rule", F.struct(order.alias("o"), "place", "model").alias("rank"))
+    # the largest is one row for all roles
+    largest = have.where("fits").agg(F.max_by("model", F.struct("size", "model")).alias("model"))
+    last = roles.select("role").join(F.broadcast(largest)).where("model IS NOT NULL").select("role", "model", F.lit("largest").alias("rule"), F.struct(F.lit(3).alias("o"), F.lit(0).cast(dict(wishes.dtypes)["place"]).alias("place"), "model").alias("rank"))
+    best = ranked.union(last).groupBy("role").agg(F.min_by(F.struct("model", "rule"), "rank").alias("m"))
+    return best.select("role", "m.model", "m.rule")
+
+
+def speed_test(embed: Callable[[list[str]], list[list[float]]], answer: Callable[[str], str], *, texts: int = 16, least_texts: float = 5.0, least_tokens: float = 8.0) -> dict[str, float | bool]:
+    """Texts embedded and tokens answered a second after one call of each to warm up, and whether both are fast enough."""
+    from time import perf_counter
+
+    embed(["warm up"])
+    answer("warm up")
+    began = perf_counter()
+    embed([f"text {i}" for i in range(texts)])
+    embedded = texts / max(perf_counter() - began, 1e-9)
+    began = perf_counter()
+    tokens = -(-len(answer("count to a hundred")) // 4)
+    answered = tokens / max(perf_counter() - began, 1e-9)
+    return {"texts_per_second": embedded, "tokens_per_second": answered, "fast": embedded >= least_texts and answered >= least_tokens}

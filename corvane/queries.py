@@ -185,7 +185,7 @@ def check_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", C.verhoeff(uid).alias("verhoeff"), C.iban(iban).alias("iban"))
 
 
-@query(f"""SELECT doc_id, md5(regexp_replace(text, '{"|".join(privacy.CREDENTIALS)}', '[SECRET REMOVED]', 'g')) AS clean FROM documents""")
+@query(f"""SELECT doc_id, md5(regexp_replace(text, '{privacy.CREDENTIALS}', '[SECRET REMOVED]', 'g')) AS clean FROM documents""")
 def strip_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(privacy.strip_credentials(F.col("text"))).alias("clean"))
 
@@ -235,7 +235,8 @@ f AS (SELECT qid, doc_id, round(0.7 * coalesce(least(1.0, greatest(0.0, similari
 def _legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     text = F.col("text")
-    vector = retrieval.vector_leg(retrieval.slots(items, "qid", F.col("query")), retrieval.slots(docs, "doc_id", text), SEARCH.candidates)
+    bags = lambda df, key, column: retrieval.bags(retrieval.slots(df, key, column), key)
+    vector = retrieval.vector_leg(bags(items, "qid", F.col("query")), bags(docs, "doc_id", text), SEARCH.candidates)
     terms = items.select("qid", F.explode(T.query_terms(F.col("query"))).alias("w")).select("qid", T.stem(F.col("w")).alias("term"))
     return vector, retrieval.bm25_leg(terms, retrieval.postings(docs, "doc_id", text), SEARCH.candidates)
 
@@ -263,9 +264,9 @@ w AS (SELECT *, NOT vouched OR score < 0.5 * coalesce(max(score) FILTER (WHERE v
 r AS (SELECT qid, path, score, weak, CAST(row_number() OVER d AS INTEGER) AS position, min(CAST(round_even(100 * least(score, 1.0), 0) AS INTEGER)) OVER (d ROWS UNBOUNDED PRECEDING) AS relevance FROM w WINDOW d AS (PARTITION BY qid ORDER BY weak, score DESC, path))
 SELECT * FROM r WHERE position <= 25""".replace("coalesce(least(1.0, greatest(0.0, similarity)), 0.0)", "coalesce(least(1.0, greatest(0.0, (similarity - 0.6) / 0.4)), 0.0)"))
 def search_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid search for every benchmark item; no file name of the corpus answers one, so names add nothing here."""
+    """Hybrid search for every benchmark item; no file name of the corpus answers one."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return S.search(document_files(spark, sf_dir), queries, floor=0.6)
+    return S.search(document_files(spark, sf_dir), queries, floor=0.6).select("qid", "path", "score", "weak", "position", "relevance")
 
 
 @query("""
@@ -499,25 +500,16 @@ WITH q AS (SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p
 d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS hay FROM documents)
 SELECT item_id, doc_id FROM q JOIN d ON length(quote) >= 8 AND contains(hay, quote)""")
 def quote_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Substring is a theta join; a shared first five words makes it an equi-join, and the substring is checked on what meets.
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", T.normalise_quote(F.col("text")).alias("quote")).where(F.length("quote") >= 8)
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.normalise_quote(F.col("text")).alias("hay"))
-    second = F.split("quote", " ")
-    keyed = quotes.withColumn("key", F.xxhash64(F.try_element_at(second, F.lit(2)), F.try_element_at(second, F.lit(3)), F.try_element_at(second, F.lit(4))))
-    grams = lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))
-    places = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.array(F.split("hay", " ")), grams)[0])).alias("key"))
-    met = places.join(keyed.where(F.size(second) >= 5), "key").select("doc_id", "item_id", "quote").distinct()
-    few = keyed.where(F.size(second) < 5).select("item_id", "quote").join(docs, F.contains(F.col("hay"), F.col("quote"))).select("item_id", "doc_id")
-    return met.join(docs, "doc_id").where(F.contains("hay", F.col("quote"))).select("item_id", "doc_id").union(few)
+    return match.exact_quotes(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
 @query()
 def quote_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark passage with its fourth word dropped, looked for in the documents that hold it."""
-    hits = quote_exact(spark, sf_dir)
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.filter(F.split("text", r"\s+"), lambda w, i: i != 3), " ").alias("quote"))
-    rows = hits.join(quotes, "item_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumn("terms", F.array().cast("array<string>"))
-    return match.quote_found(rows, match.MATCH).select("item_id", "doc_id", "found")
+    """Benchmark items with their middle word dropped, as quotes in all documents."""
+    words = F.split(F.trim("text"), " ")
+    cut = F.array_join(F.concat(F.slice(words, 1, (F.size(words) / 2).cast("int")), F.slice(words, (F.size(words) / 2).cast("int") + 2, F.size(words))), " ")
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", cut.alias("quote"), F.array().cast("array<string>").alias("terms"))
+    return match.near_quotes(quotes, table(spark, sf_dir, "documents"))
 
 
 # ------------------------------------------------------------------ evaluation

@@ -28,39 +28,84 @@ def debounced(ops: DataFrame, gap: str = "30 seconds", late: str = "10 minutes")
     return out.select("path", F.col("w.end").alias("ended"), "op", "events")
 
 
+def with_subtrees(ops: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``ops`` (path, op, ..) and, for each deleted folder, a delete of every file of the manifest (path) below it.
+
+    Files name all their folders, so a stream of operations meets the table in an equi-join.
+    """
+    parts = F.split(F.lower("path"), r"[/\\]")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    below = manifest.select(F.col("path").alias("__file"), F.explode(above).alias("__dir"))
+    gone = ops.where("op = 'delete'").withColumn("__dir", F.regexp_replace(F.lower("path"), r"\\", "/")).join(below, "__dir")
+    return ops.unionByName(gone.withColumn("path", F.col("__file")).select(ops.columns))
+
+
+def overflow(events: DataFrame, per_second: int = 400, late: str = "10 seconds") -> DataFrame:
+    """(second, events, dropped) of the seconds with more events than are taken: what is dropped calls for a full diff."""
+    counted = events.withWatermark("ts", late).groupBy(F.window("ts", "1 second").alias("w")).agg(F.count(F.lit(1)).alias("events"))
+    return counted.where(F.col("events") > per_second).select(F.col("w.start").alias("second"), "events", (F.col("events") - per_second).alias("dropped"))
+
+
 class Queue(StatefulProcessor):
-    """Per path the latest operation; a ``done`` of an older number changes nothing, three failures give up."""
+    """Per path the latest operation. A ``done`` or ``fail`` of an older number changes nothing; three failures give up.
+
+    With a pause, a failed item is due again after ``wait`` seconds and a deferred one after ``defer`` seconds, which a timer
+    tells; deferring counts as no attempt.
+    """
+
+    def __init__(self, wait: float | None = None, defer: float = 600):
+        self.wait, self.pause = wait, defer
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         fields = [StructField("op", StringType()), StructField("seq", LongType()), StructField("attempts", LongType())]
-        self.item = handle.getValueState("item", StructType(fields))
+        self.handle, self.item = handle, handle.getValueState("item", StructType(fields))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
-        state = self.item.get() if self.item.exists() else None
+    def _again(self, timers: Any, seconds: float) -> None:
+        if self.wait is not None:
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + int(seconds * 1000))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        state, due = self.item.get() if self.item.exists() else None, True
         for batch in rows:
-            for r in batch.sort_values("seq").itertuples():
+            for r in batch.sort_values("seq", kind="stable").itertuples():
                 if r.op in ("upsert", "delete"):
-                    state = (r.op, int(r.seq), 0)
+                    state, due = (r.op, int(r.seq), 0), True
+                elif state and r.seq == state[1] and r.op == "defer":
+                    due = False
+                    self._again(timerValues, self.pause)
                 elif state and r.seq == state[1]:
                     state = None if r.op == "done" else (state[0], state[1], state[2] + 1)
+                    due = self.wait is None
+                    if state and state[2] < ATTEMPTS:
+                        self._again(timerValues, self.wait or 0)
         if state is None:
             self.item.clear()
-            yield pd.DataFrame({"path": [key[0]], "op": ["done"], "seq": [-1], "attempts": [0]})
+            yield self._row(key, "done", -1, 0)
         else:
             self.item.update(state)
-            yield pd.DataFrame({"path": [key[0]], "op": ["failed" if state[2] >= ATTEMPTS else state[0]], "seq": [state[1]], "attempts": [state[2]]})
+            yield self._row(key, "failed" if state[2] >= ATTEMPTS else state[0] if due else "waiting", state[1], state[2])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        state = self.item.get() if self.item.exists() else None
+        if state and state[2] < ATTEMPTS:
+            yield self._row(key, state[0], state[1], state[2])
+
+    @staticmethod
+    def _row(key: tuple, op: str, seq: int, attempts: int) -> pd.DataFrame:
+        return pd.DataFrame({"path": [key[0]], "op": [op], "seq": [seq], "attempts": [attempts]})
 
     def close(self) -> None:
         pass
 
 
-def queue(ops: DataFrame) -> DataFrame:
-    """(path, op, seq, attempts): the queue's state after each batch of (path, op, seq); op upsert, delete, done or fail.
+def queue(ops: DataFrame, *, wait: float | None = None, defer: float = 600) -> DataFrame:
+    """(path, op, seq, attempts): the queue's state after each batch of (path, op, seq); op upsert, delete, done, fail or defer.
 
-    Needs the RocksDB state store provider.
+    With ``wait`` failed and deferred items are ``waiting`` and come again when their pause is over. Needs the RocksDB state
+    store provider.
     """
     keyed = ops.withColumn("path", F.lower("path"))
-    return keyed.groupBy("path").transformWithStateInPandas(Queue(), outputStructType=QUEUE, outputMode="Update", timeMode="None")
+    return keyed.groupBy("path").transformWithStateInPandas(Queue(wait, defer), outputStructType=QUEUE, outputMode="Update", timeMode="None" if wait is None else "ProcessingTime")
 
 
 def drain(stream: DataFrame, index: Callable[[DataFrame, int], None], failed: Callable[[DataFrame, int, Exception], None], checkpoint: str):

@@ -9,7 +9,7 @@ from corvane.plans.search import parse_filters
 from corvane.sources import files, sinks
 
 
-def test_filters():
+def test_filters(spark):
     text, where = parse_filters("retry type:code proj:Billing ext:py")
     assert text == "retry" and where is not None
     assert parse_filters("after:nonsense x") == ("x", None)

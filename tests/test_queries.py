@@ -2,6 +2,7 @@
 
 import pytest
 
+from corvane import queries_more  # noqa: F401
 from corvane.queries import ORACLE, QUERIES
 
 from .oracle import SF, check

@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 from corvane.streaming import changes
@@ -30,3 +31,22 @@ def test_debounce_and_drain(spark, tmp_path):
 
     changes.drain(changes.debounced(stream), index, lambda b, n, e: bad.append(str(e)), str(tmp_path / "cp")).awaitTermination()
     assert sorted(got) == [("a", "delete", 2), ("a", "upsert", 1)] and bad == ["poison"]
+
+
+def test_pauses_and_subtrees(spark, tmp_path):
+    rows = [("a", "upsert", 1), ("a", "fail", 1), ("b", "upsert", 2), ("b", "defer", 2), ("c", "upsert", 3)]
+    spark.createDataFrame(rows, "path string, op string, seq long").coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("path string, op string, seq long").json(str(tmp_path / "in"))
+    out = changes.queue(stream, wait=1, defer=1).writeStream.format("memory").queryName("paused").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        until, got = time.time() + 40, []
+        while len(got) < 5 and time.time() < until and out.isActive:
+            time.sleep(1)
+            got = [(r.path, r.op, r.attempts) for r in spark.table("paused").collect()]
+    finally:
+        out.stop()
+    # both come again after their pause, the deferred one without an attempt
+    assert sorted(got) == [("a", "upsert", 1), ("a", "waiting", 1), ("b", "upsert", 0), ("b", "waiting", 0), ("c", "upsert", 0)]
+    manifest = spark.createDataFrame([("/P/sub/x.txt",), ("/p/sub/deep/y.txt",), ("/p/sub2/z.txt",)], "path string")
+    ops = spark.createDataFrame([("/p/sub", "delete"), ("/p/a", "upsert")], "path string, op string")
+    assert {(r.path, r.op) for r in changes.with_subtrees(ops, manifest).collect()} == {("/p/sub", "delete"), ("/p/a", "upsert"), ("/P/sub/x.txt", "delete"), ("/p/sub/deep/y.txt", "delete")}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..registry import CLASSIFIERS
 
 # The patterns of each type in order of priority, and the weights of a hit.
 RULES: dict[str, dict[str, list[str]]] = {
@@ -33,13 +34,15 @@ def _line(lines: Column, pattern: str) -> Column:
 
 
 def scores(path: Column, text: Column) -> dict[str, Column]:
-    """One rule score of 0 to 1 for each type."""
+    """One rule score of 0 to 1 for each type; a registered classifier, a function of path and text, adds a type or takes a rule's place."""
     head = F.slice(F.split(text, "\n"), 1, HEAD_LINES)
     lines = F.transform(head, lambda x: F.trim(F.regexp_replace(F.trim(x), "^[#*:]+|[#*:]+$", "")))
     joined = F.array_join(head, "\n")
     stem = T.stem_of(T.base_name(path))
-    out = {}
+    out = {name: F.round(F.least(F.lit(1.0), CLASSIFIERS[name](path, text)), 6) for name in CLASSIFIERS}
     for name, rule in RULES.items():
+        if name in out:
+            continue
         # a heading counts once for each pattern that a whole line matches
         headings = sum((_line(lines, p).cast("int") for p in rule.get("headings", [])), F.lit(0))
         keywords = sum((joined.rlike(f"(?i){p}").cast("int") for p in rule.get("keywords", [])), F.lit(0))

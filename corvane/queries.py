@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import checks as C, text as T
-from .operators import chunking, doctypes, evaluate, match, privacy, rag, ranking, retrieval, scope, state, versions
+from .operators import chunking, doctypes, evaluate, match, privacy, rag, ranking, results, retrieval, scope, state, versions
 from .plans import search as S
 from .sources import sinks
 from .sources.corpus import document_files, table
@@ -300,8 +300,7 @@ def rank_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events) WHERE n = 1""")
 def newest_per_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
-    return table(spark, sf_dir, "events").withColumn("n", F.row_number().over(newest)).where("n = 1").select("user_id", "event_id", "event_type")
+    return state.newest_by(table(spark, sf_dir, "events"), "user_id", F.desc("ts"), F.asc("event_id")).select("user_id", "event_id", "event_type")
 
 
 @query("""
@@ -536,7 +535,7 @@ def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*(F.round(F.percentile("value", p / 100), 6).alias(f"p{p}") for p in (10, 25, 50, 75, 90)))
+    return evaluate.percentiles(table(spark, sf_dir, "events"), "value", "event_type", (0.1, 0.25, 0.5, 0.75, 0.9))
 
 
 # ------------------------------------------------------------------ answers and results
@@ -553,7 +552,7 @@ def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lower(regexp_extract(url, '(\\.[A-Za-z0-9]+)([?#].*)?$', 1)) AS ext, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, ext")
 def ext_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.lower(F.regexp_extract("url", r"(\.[A-Za-z0-9]+)([?#].*)?$", 1))
-    return table(spark, sf_dir, "pages").groupBy(ext.alias("ext")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ext")
+    return results.extension_counts(table(spark, sf_dir, "pages").select(ext.alias("ext"), F.lit("").alias("path")))
 
 
 @query("""

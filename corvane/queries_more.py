@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import providers
 from .functions import text as T
 from .operators import evaluate, match, privacy, rag, redact, results, retrieval, scope, state, versions
-from .plans import match_run as M, search as S
+from .plans import index, match_run as M, search as S
 from .queries import FILES, ORACLE, query, sql_name_words, sql_terms
 from .sources import sinks
 from .sources.corpus import document_files, table
@@ -260,6 +260,28 @@ def sessions_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.recent(last.orderBy(F.desc("last"), "conv_id").withColumn("at", F.struct("last", -F.col("conv_id"))), "at", 10).select("conv_id", "last")
 
 
+# ------------------------------------------------------------------ the index
+@query(r"""
+WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS t FROM conversations)
+SELECT conv_id, turn, md5(substr(t, 1, 60)) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM c WHERE t <> '') WHERE n <= 4""")
+def chunks_finalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = index.finalised(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", most_chars=60, most_chunks=4)
+    return kept.select("conv_id", "turn", F.md5("text").alias("text"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role <> 'system') AS t FROM conversations GROUP BY 1)
+SELECT conv_id, conv_id % 7 = 0 AS refused, CASE WHEN conv_id % 7 <> 0 THEN md5(CASE WHEN conv_id % 3 = 0 THEN 'stored' ELSE coalesce(t, '') END) END AS whole FROM c""")
+def documents_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored texts for every third conversation, turns for the others; every seventh has a secret's name."""
+    c = F.col("conv_id")
+    path = F.concat(F.lit("/x/"), c.cast("string"), F.when(c % 7 == 0, "/id_rsa").otherwise("/a.txt"))
+    said = table(spark, sf_dir, "conversations")
+    documents = said.groupBy("conv_id").agg(F.lit(1)).select("conv_id", path.alias("path"), F.when(c % 3 == 0, "stored").otherwise("").alias("full_text"))
+    chunks = said.select(path.alias("path"), F.col("turn").alias("n"), F.when(F.col("role") == "system", "outline").otherwise("doc").alias("kind"), F.concat(F.lit("head\n"), "text").alias("text"))
+    return index.whole_documents(documents, chunks).join(documents.select("conv_id", "path"), "path").select("conv_id", "refused", F.md5("text").alias("whole"))
+
+
 # ------------------------------------------------------------------ sinks and rows
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT c_custkey, -1.0 FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 8 = 0")
 def rows_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,14 @@ class Registry:
 
 
 SKILLS, EMBEDDERS, CHATS = Registry("skill"), Registry("embedder"), Registry("chat provider")
+SOURCES, CLASSIFIERS = Registry("content source"), Registry("document type")
+
+
+def migrated(table: Any, version: int, steps: list[Callable[[Any], Any]]) -> tuple[Any, int]:
+    """A table brought from its version to the newest one, and that version: ``steps[i]`` takes version i to i + 1."""
+    for step in steps[version:]:
+        table = step(table)
+    return table, max(version, len(steps))
 
 
 class Hooks:

@@ -41,4 +41,5 @@ class Match:
 
 
 SEARCH, CHUNKING, MATCH = Search(), Chunking(), Match()
+PLAIN = Chunking(max_chars=2500, overlap=3)  # windows of plain text
 DIM = 64  # of the default hashed embedder

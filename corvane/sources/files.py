@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as T
 
 READERS: dict[str, Callable[[bytes], str]] = {}
-TEXT = "path string, size long, mtime timestamp, text string, error string"
+TEXT = "path string, size long, mtime timestamp, text string, error string, file_hash string"
 
 
 def reader(*extensions: str):
@@ -133,15 +133,15 @@ def _decode(readers: dict[str, Callable[[bytes], str]]):
                 except Exception as e:  # a file that can't be read is a row with its error
                     texts.append(None)
                     errors.append(f"{type(e).__name__}: {e}"[:200])
-            yield pd.DataFrame({"path": batch["path"], "size": batch["length"], "mtime": batch["modificationTime"], "text": texts, "error": errors})
+            yield pd.DataFrame({"path": batch["path"], "size": batch["length"], "mtime": batch["modificationTime"], "text": texts, "error": errors, "file_hash": batch["file_hash"]})
 
     return run
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, size, mtime, text, error) of the files below ``root`` whose names match ``glob``."""
+    """(path, size, mtime, text, error, file_hash) of the files below ``root`` whose names match ``glob``."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    return found.select("path", "length", "modificationTime", "content").mapInPandas(_decode(dict(READERS)), TEXT)
+    return found.select("path", "length", "modificationTime", "content", F.sha2("content", 256).alias("file_hash")).mapInPandas(_decode(dict(READERS)), TEXT)
 
 
 def repeated_lines(lines: DataFrame, share: float = 0.5) -> DataFrame:

@@ -59,3 +59,30 @@ def test_registry():
     hooks.on("x", lambda: seen.append(1))
     hooks.emit("x")
     assert seen == [1] and bad == ["x"]
+
+
+def test_folders_as_a_source(spark, tmp_path):
+    from corvane.operators import scope
+    from corvane.sources.content import folders
+
+    for name, text in {"a.md": "# A", "b.log.md": "x", "id_rsa": "secret", "node_modules/c.md": "no", "sub/d.txt": "deep", ".gitignore": "*.log.md\n", "e.bin": "no", "empty.md": ""}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    rules = scope.ignore_rules(spark.createDataFrame([(str(tmp_path / ".gitignore"), "*.log.md\n")], "path string, text string"))
+    source = folders([str(tmp_path)], rules=rules)
+    rows = source.files(spark).collect()
+    assert {r.path.rsplit("/", 1)[1]: r.text for r in rows if not r.path.endswith(".gitignore")} == {"a.md": "# A", "d.txt": "deep"} and all(len(r.file_hash) == 64 for r in rows)
+    df = spark.createDataFrame([(str(tmp_path / "a.md"), 3), (str(tmp_path / "id_rsa"), 3), ("/elsewhere/a.md", 3)], "path string, size int")
+    assert [r.ok for r in df.select(source.still_valid(F.col("path"), F.col("size")).alias("ok")).collect()] == [True, False, False]
+
+
+def test_index_steps(spark):
+    files = spark.createDataFrame([(1, "/p/.claude/plans/a.md", "p", "doc", 1, "some words that stand in a plan of many good words"), (2, "/p/b.txt", "p", "doc", 1, "~~ ||")], FILES)
+    rows = {r.path: r for r in index.chunk_rows(files).collect()}
+    assert rows["/p/.claude/plans/a.md"].kind == "ai-note" and rows["/p/.claude/plans/a.md"].source == "claude-plan" and rows["/p/b.txt"].content_chars == 0 and rows["/p/b.txt"].embed_text == "/p/b.txt\n~~ ||"
+    manifest = spark.createDataFrame([("/p/b.txt", 0, 5, "old", 1.0)], "path string, mtime long, size long, content_hash string, indexed_at double")
+    done = index.indexed(manifest, files.selectExpr("path", "mtime", "length(text) AS size", "text"), files.where("doc_id = 2").select("path"), now=9.0)
+    assert {r.path: (r.content_hash == "failed", r.indexed_at) for r in done.collect()} == {"/p/.claude/plans/a.md": (False, 9.0), "/p/b.txt": (True, 9.0)}
+    big = spark.createDataFrame([(600_000, "x", "code", ".json"), (10, "// do not edit", "code", ".py"), (10, "x = 1", "code", ".py")], "size int, text string, kind string, ext string")
+    assert [r.text for r in index.accepted(big).collect()] == ["x = 1"]
+    assert registry.migrated(1, 1, [lambda t: t + 10, lambda t: t + 100]) == (101, 2) and registry.migrated(5, 2, [None, None]) == (5, 2)

@@ -566,7 +566,13 @@ def neighbour_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rag.merge_neighbours(chunks)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {FILES}, {_LEGS},
+r AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, CASE WHEN coalesce(similarity, 0) = 0 THEN -1.0 ELSE similarity END DESC, doc_id) AS file_rank FROM f),
+p AS (SELECT qid, file_rank, path, text, len(string_split(text, chr(10))) AS end_line, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM r JOIN files USING (doc_id) WHERE file_rank <= 8),
+w(qid, k, used, n, took) AS (SELECT DISTINCT qid, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0, false FROM p UNION ALL
+  SELECT w.qid, k + 1, CASE WHEN used + tokens + 20 <= 2000 THEN used + tokens + 20 WHEN n = 0 THEN 2000 ELSE used END, CASE WHEN used + tokens + 20 <= 2000 OR n = 0 THEN n + 1 ELSE n END, used + tokens + 20 <= 2000 OR n = 0 FROM w JOIN p ON p.qid = w.qid AND p.file_rank = k + 1)
+SELECT w.qid, n, path, 1 AS start_line, CAST(end_line AS INTEGER) AS end_line, CASE WHEN tokens + 20 > 2000 THEN substr(text, 1, 7920) ELSE text END AS text FROM w JOIN p ON p.qid = w.qid AND p.file_rank = k WHERE took""")
 def rag_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = document_files(spark, sf_dir)
     fused = retrieval.top(retrieval.fuse(*_legs(spark, sf_dir)), "qid", rag.MOST_FILES, F.desc("score"), F.desc(retrieval.fused_order(F.col("similarity"))), "doc_id", rank="file_rank")
@@ -574,7 +580,14 @@ def rag_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rag.pack_sources(pieces, 2000)
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN text = '' THEN []::VARCHAR[] WHEN ends_with(text, chr(10)) THEN string_split(substr(text, 1, length(text) - 1), chr(10)) ELSE string_split(text, chr(10)) END AS ls FROM documents),
+e AS (SELECT doc_id, ls, len(ls) AS n, list_prepend(CAST(0 AS HUGEINT), list_transform(range(1, len(ls) + 1), lambda i: list_sum(list_transform(ls[1:i], lambda x: length(x) + 1)))) AS p FROM d),
+w(doc_id, lo, hi) AS (SELECT doc_id, CAST(0 AS BIGINT), list_max(list_filter(range(1, n + 1), lambda h: h = 1 OR p[h + 1] <= 4500)) FROM e WHERE n > 0 UNION ALL
+  SELECT doc_id, lo, list_max(list_filter(range(lo + 1, n + 1), lambda h: h = lo + 1 OR p[h + 1] - p[lo + 1] <= 4500)) FROM (SELECT w.doc_id, greatest(w.lo + 1, w.hi - least(6, (w.hi - w.lo) // 2)) AS lo, e.n, e.p FROM w JOIN e USING (doc_id) WHERE w.hi < e.n)),
+t AS (SELECT doc_id, lo, hi, array_to_string(ls[lo + 1:hi], chr(10)) AS whole FROM w JOIN e USING (doc_id)),
+c AS (SELECT doc_id, lo, hi, k, substr(whole, k + 1, 4500) AS text FROM (SELECT *, unnest(range(0, greatest(length(whole), 1), 4500)) AS k FROM t))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY lo, k) - 1 AS INTEGER) AS n, '' AS heading, CAST(lo + 1 AS INTEGER) AS start_line, CAST(hi AS INTEGER) AS end_line, text FROM c WHERE regexp_matches(text, '\\S')""")
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(table(spark, sf_dir, "documents"))
 
@@ -586,7 +599,16 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(said.select(F.col("conv_id").alias("doc_id"), text.alias("text")), markdown=True)
 
 
-@query()
+@query(r"""
+WITH RECURSIVE w0 AS (SELECT source, doc_id, text, greatest(CAST(ceil(length(text) / 4.0) AS BIGINT), 1) AS weight FROM documents), t0 AS (SELECT source, sum(weight) AS total FROM w0 GROUP BY 1),
+t AS (SELECT doc_id, text, greatest(200, CAST(floor(50000 * weight / CAST(total AS DOUBLE)) AS BIGINT)) AS share FROM w0 JOIN t0 USING (source)),
+c AS (SELECT *, CAST(ceil(length(text) / 4.0) AS BIGINT) > share AS cut, list_filter(string_split_regex(text, '\n\s*\n'), lambda x: regexp_matches(x, '\S')) AS ps FROM t),
+p AS (SELECT doc_id, share, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM c WHERE cut),
+h AS (SELECT *, len(list_filter(list_distinct(regexp_extract_all(lower(p), '[a-z0-9+#.]{2,}')), lambda x: x IN ('the', 'of', 'and'))) AS hits, CAST(ceil(length(p) / 4.0) AS BIGINT) AS tokens FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, i) AS k FROM h),
+g(doc_id, k, used, took) AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), false FROM r UNION ALL SELECT g.doc_id, g.k + 1, CASE WHEN used + tokens <= share THEN used + tokens ELSE used END, used + tokens <= share FROM g JOIN r ON r.doc_id = g.doc_id AND r.k = g.k + 1),
+a AS (SELECT doc_id, string_agg(p, chr(10) || chr(10) ORDER BY i) AS kept FROM g JOIN r USING (doc_id, k) WHERE took GROUP BY 1)
+SELECT c.doc_id, CASE WHEN NOT cut THEN text ELSE coalesce(a.kept, substr(coalesce(ps[1], text), 1, 4 * share)) END AS kept, cut FROM c LEFT JOIN a USING (doc_id)""")
 def reduced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = rag.budget_shares(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", 50000).select("doc_id", "text", F.col("share").alias("budget"))
     return rag.reduce_texts(shared, "the of and").select("doc_id", "kept", "cut")

@@ -41,3 +41,10 @@ def test_edges(spark):
     assert sorted(map(tuple, contamination(docs, items).collect())) == [(3, 3, 1, 1), (4, 4, 2, 2)]
     assert contamination(docs.limit(0), items).count() == 0 and contamination(docs, items.limit(0)).count() == 0
     assert without_contaminated(docs, contamination(docs, items)).count() == 3
+
+
+def test_a_very_long_text(spark):
+    item = " ".join(f"item{i}" for i in range(30))
+    long = " ".join(f"w{i}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, long[:500_000] + " " + item + " " + long[500_000:]), (2, long)], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in contamination(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()] == [(1, 7)]

@@ -46,3 +46,14 @@ def test_edges(spark):
     got = sorted(((r.doc_id, r.base_failed, r.kept) for r in judge(docs, none).collect()), key=str)
     assert got == sorted([(1, True, False), (None, True, False), (2, False, True), (2, False, True)], key=str)
     assert judge(docs.limit(0), none).count() == 0
+
+
+def test_verdict_on_rows_whose_labels_it_has_not_seen(spark):
+    from corvane.llm.quality import judge
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    seen = labels.where("doc_id % 2 = 0")
+    judged = judge(docs, seen).where("NOT base_failed").join(labels.where("doc_id % 2 = 1").groupBy("doc_id").agg({"quality": "min"}).toDF("doc_id", "quality"), "doc_id")
+    share = {r.quality: r.kept for r in judged.selectExpr("quality", "cast(kept AS int) AS kept").groupBy("quality").avg("kept").toDF("quality", "kept").collect()}
+    assert share[1] >= 0.98 and share[0] <= 0.75

@@ -521,7 +521,7 @@ ex AS (SELECT c_custkey AS qid, 'DIR/f' || CAST(c_custkey % 40 AS VARCHAR) || '.
 h AS (SELECT res.qid, pattern, path, rank, strong FROM res JOIN ex ON res.qid = ex.qid AND contains(lower(replace(path, '\\', '/')), lower(pattern)) WHERE rank <= 10),
 a AS (SELECT qid, min(rank) AS first, min(rank) FILTER (WHERE strong) AS strong_first FROM h GROUP BY 1),
 g AS (SELECT qid, sum(1 / log2(r + 1)) AS dcg FROM (SELECT qid, pattern, min(rank) AS r FROM h GROUP BY 1, 2) GROUP BY 1),
-p AS (SELECT qid, count(DISTINCT path) / 5.0 AS p FROM h WHERE rank <= 5 GROUP BY 1),
+p AS (SELECT qid, count(DISTINCT rank) / 5.0 AS p FROM h WHERE rank <= 5 GROUP BY 1),
 q AS (SELECT c_custkey AS qid, (first IS NOT NULL)::INT AS recall, (strong_first IS NOT NULL)::INT AS strong, coalesce(1.0 / first, 0) AS mrr, coalesce(dcg / (1 + 1 / log2(3)), 0) AS ndcg, coalesce(p, 0) AS p FROM customer LEFT JOIN a ON a.qid = c_custkey LEFT JOIN g ON g.qid = c_custkey LEFT JOIN p ON p.qid = c_custkey)
 SELECT round(avg(recall), 6) AS recall, round(avg(strong), 6) AS strong_recall, round(avg(CAST(mrr AS DOUBLE)), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(CAST(p AS DOUBLE)), 6) AS p_at_5 FROM q""")
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,8 +124,8 @@ def test_readers(spark, tmp_path):
 def test_packing_and_reduction(spark):
     pieces = spark.createDataFrame([(1, 1, "a", 1, 2, "x" * 400), (1, 2, "b", 1, 2, "y" * 4000), (1, 3, "c", 1, 2, "z" * 40)], "qid long, file_rank int, path string, start_line int, end_line int, text string")
     assert [(r.n, r.path) for r in rag.pack_sources(pieces, 200).orderBy("n").collect()] == [(1, "a"), (2, "c")]
-    assert rag.relevant("short", set(), 10) == ("short", False)
-    assert rag.relevant("aa bb\n\ncc dd ee ff gg hh\n\naa", {"cc"}, 5) == ("cc dd ee ff gg hh", True)
+    texts = spark.createDataFrame([(1, "short", 10), (2, "aa bb\n\ncc dd ee ff gg hh\n\naa", 5)], "i int, text string, budget int")
+    assert [(r.kept, r.cut) for r in rag.reduce_texts(texts, "cc").orderBy("i").collect()] == [("short", False), ("cc dd ee ff gg hh", True)]
 
 
 def test_history(spark):

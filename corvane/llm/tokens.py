@@ -15,10 +15,15 @@ import os
 import re
 from collections.abc import Iterator
 
+from typing import TYPE_CHECKING
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+if TYPE_CHECKING:
+    from tokenizers import Encoding
+
 CHUNK, OVERLAP, MOST_PIECES = 1 << 12, 1 << 7, 400_000
 #: Separators to Python's str.split() and \\s but not to the tokenizer's: they are parts of a piece.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -37,40 +42,48 @@ class Counter:
         self.tokenizer.no_padding()
         self.chunk, self.overlap, self.known = chunk, overlap, {}
 
-    def starts(self, text: str, lo: int, hi: int) -> np.ndarray:
-        """Where the tokens of text[lo:hi] start in the text."""
-        offsets = self.tokenizer.encode(text[lo:hi], add_special_tokens=False).offsets
-        return np.fromiter((s for s, _ in offsets), dtype=np.int64, count=len(offsets)) + lo
+    def encode(self, text: str) -> Encoding:
+        return self.tokenizer.encode(text, add_special_tokens=False)
 
     def spliced(self, text: str) -> tuple[int, int]:
         """Tokens of a text and the chunks that were spliced to count them."""
         lo, hi, total, chunks = 0, min(self.chunk, len(text)), 0, 1
-        own = self.starts(text, lo, hi)
+        own, at, counted = self.encode(text[:hi]), 0, 0  # the chunk's encoding, where it begins, and how many of its tokens the one before has
         while hi < len(text):
             overlap = self.overlap
             while True:
                 back = max(hi - overlap, lo)
                 far = min(back + max(self.chunk, 2 * (hi - back)), len(text))
-                after = self.starts(text, back, far)
-                place = self.common(text, back, hi, own, after)
+                after = self.encode(text[back:far])
+                place = self.common(text, back, hi, own, at, after)
                 if place is not None:
                     break
                 if back == lo:  # no stable place in all of this chunk: the longer one takes its place
-                    own, hi = after, far
+                    own, at, counted, hi = after, lo, 0, far
                     if hi == len(text):
                         return total + len(own), chunks
                 overlap *= 2
-            total += int((own < place).sum())
-            own, lo, hi, chunks = after[after >= place], place, far, chunks + 1
-        return total + len(own), chunks
+            lo, mine, theirs = place
+            total += mine - counted
+            own, at, counted, hi, chunks = after, back, theirs, far, chunks + 1
+        return total + len(own) - counted, chunks
 
     @staticmethod
-    def common(text: str, lo: int, hi: int, a: np.ndarray, b: np.ndarray) -> int | None:
-        """The first piece start in (lo, hi) at which both encodings start a token, and after which the first one has a whole piece left."""
-        both = set(np.intersect1d(a[a > lo], b).tolist())
+    def first_token(encoding: Encoding, place: int) -> int | None:
+        """The first token that starts at a place, None if none does."""
+        i = encoding.char_to_token(place)
+        if i is None or encoding.token_to_chars(i)[0] != place:
+            return None
+        while i and encoding.token_to_chars(i - 1)[0] == place:
+            i -= 1
+        return i
+
+    def common(self, text: str, lo: int, hi: int, a: Encoding, at: int, b: Encoding) -> tuple[int, int, int] | None:
+        """The first piece start in (lo, hi) at which both encodings start a token, and after which the first one has a whole piece left; with both tokens' numbers."""
         for m in START.finditer(text, lo + 1, hi):
-            if m.start() in both:
-                return m.start() if SPACE.search(text, m.start(), hi) else None
+            mine, theirs = self.first_token(a, m.start() - at), self.first_token(b, m.start() - lo)
+            if mine is not None and theirs is not None:
+                return (m.start(), mine, theirs) if SPACE.search(text, m.start(), hi) else None
         return None
 
     def counts(self, texts: list[str]) -> tuple[list[int], list[int]]:

@@ -8,7 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, html_extract, langid, packing, quality, substr, tokens, urls, warc
+from . import decontam, html_extract, importance, langid, packing, periodic, quality, substr, tokens, urls, warc
+from .mixing import Mix
 from .neardup import near_duplicates
 from ..scratch import Scratch
 
@@ -93,6 +94,43 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+@query
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mix(table(spark, sf_dir, "documents")).taken()
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Words from the a-th on, of n, become repeats of the p words from there, where the id's check sum ends in 0.
+PERIODIC = r"""
+WITH d AS (SELECT doc_id, text, crc32(cast(doc_id AS string)) AS h FROM {docs}),
+w AS (SELECT *, h div 10 AS g, CASE WHEN h % 10 = 0 THEN regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0) END AS w FROM d),
+n AS (SELECT *, cast(size(w) AS bigint) AS n FROM w),
+a AS (SELECT *, g % nullif(n, 0) AS a FROM n),
+p AS (SELECT *, 1 + (n - a) div (3 + g % 8) AS p FROM a)
+SELECT doc_id, CASE WHEN n > 0
+  THEN array_join(transform(sequence(0L, n - 1), i -> get(w, cast(if(i < a, i, a + (i - a) % p) AS int))), ' ') ELSE text END AS text
+FROM p
+"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.sql(PERIODIC, docs=table(spark, sf_dir, "documents").select("doc_id", "text"))
+    better = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    best = F.aggregate("runs", none, lambda b, r: F.when(better(b, r), r).otherwise(b))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    found = periodic.periodic_runs(docs).withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 ORACLE["op9_near_dedup"] = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS ws FROM documents

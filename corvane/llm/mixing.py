@@ -155,7 +155,7 @@ class Mix:
         inside = Window.partitionBy("number", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         base = rows.groupBy("number", "bucket").agg(F.sum("words").alias("all"))
         base = base.withColumn("base", F.sum("all").over(Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("all"))
-        placed = rows.withColumn("before", F.sum("words").over(inside) - F.col("words")).join(base.select("number", "bucket", "base"), ["number", "bucket"])
+        placed = rows.withColumn("before", F.sum("words").over(inside) - F.col("words")).join(base.select("number", "bucket", "base").hint("merge"), ["number", "bucket"])
         each = copies(placed.select("number", "doc_id", "size", "times", (F.col("base") + F.col("before")).alias("first")), "times", "copy")
         each = each.withColumn("start", F.col("first") + F.col("copy") * F.col("size")).withColumn("end", F.col("start") + F.col("size"))
         b = self.plan.block

@@ -1,6 +1,8 @@
 import difflib
 import math
 import random
+
+import pytest
 import re
 
 from pyspark.sql import functions as F
@@ -86,16 +88,17 @@ def near(wanted, hay, threshold):
     return False
 
 
-def test_near_quotes_by_brute_force(spark):
+@pytest.mark.parametrize("longest,length,kinds", [(80, 9, 300), (400, 40, 60), (300, 90, 1000)])
+def test_near_quotes_by_brute_force(spark, longest, length, kinds):
     rng = random.Random(7)
-    words = [f"word{i}" for i in range(300)]
-    texts = [[rng.choice(words) for _ in range(rng.randint(5, 80))] for _ in range(40)]
+    words = [f"word{i}" for i in range(kinds)]
+    texts = [[rng.choice(words) for _ in range(rng.randint(5, longest))] for _ in range(40)]
     quotes = []
     for i in range(30):
         t = rng.choice(texts)
-        at = rng.randrange(max(1, len(t) - 8))
-        q = t[at : at + rng.randint(1, 9)]
-        for _ in range(rng.randint(0, 2)):
+        at = rng.randrange(max(1, len(t) - length + 1))
+        q = t[at : at + rng.randint(1, length)]
+        for _ in range(rng.randint(0, 2 + length // 12)):
             q[rng.randrange(len(q))] = rng.choice(words + ["other"])
         quotes.append((i, " ".join(q)))
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id int, text string")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..settings import DIM, SEARCH, Search
+from .topk import TopK
 
 #: Queries of one pass over the vectors.
 QUERIES = 4096
@@ -42,26 +43,29 @@ def vector_leg(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def _scan(qids: list, matrix: np.ndarray, k: int, itself: bool):
-    """Of each batch of vectors the ``k`` nearest of every query, as a block of rows against the block of queries."""
+    """Of all vectors of a task the ``k`` nearest of every query, as blocks of rows against the block of queries."""
     norms = np.sqrt((matrix * matrix).sum(axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, kind, names = TopK(len(qids), k), None, np.array(qids)
         for batch in batches:
-            width = matrix.shape[1]
+            kind, width = batch.column(0).type, matrix.shape[1]
             v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-            norm = np.sqrt((v * v).sum(axis=1))
-            for lo in range(0, len(v), 4096):
-                part, ids = v[lo : lo + 4096], batch.column(0).slice(lo, 4096)
-                scale = norm[lo : lo + 4096, None] * norms[None, :]
+            norm, ids = np.sqrt((v * v).sum(axis=1)), np.array(batch.column(0).to_pylist())
+            for lo in range(0, len(v), 1024):
+                part, own = v[lo : lo + 1024], ids[lo : lo + 1024]
+                scale = norm[lo : lo + 1024, None] * norms[None, :]
                 sim = np.round(np.divide(part @ matrix.T, scale, out=np.zeros((len(part), len(qids))), where=scale > 0), 6)
-                names = np.array(ids.to_pylist())
-                for q, qid in enumerate(qids):
-                    column = sim[:, q]
-                    keep = np.arange(len(part)) if itself else np.flatnonzero(names != qid)
-                    if len(keep) > k:
-                        # all that tie with the k-th stay, so that the last sort can decide
-                        keep = keep[column[keep] >= np.partition(column[keep], len(keep) - k)[len(keep) - k]]
-                    yield pa.RecordBatch.from_arrays([pa.array([qid] * len(keep)), ids.take(pa.array(keep)), pa.array(column[keep])], ["qid", "vec_id", "similarity"])
+                if not itself:
+                    sim[own[:, None] == names[None, :]] = -np.inf
+                floor = best.least
+                if len(part) >= k:
+                    floor = np.maximum(floor, np.partition(sim, len(part) - k, axis=0)[len(part) - k])
+                row, query = np.nonzero((sim >= floor) & np.isfinite(sim))
+                best.add(query, sim[row, query], own[row])
+        kept = best.columns()
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in kept[0].tolist()]), pa.array(kept[2].tolist(), kind), pa.array(kept[1])], ["qid", "vec_id", "similarity"])
 
     return run
 
@@ -69,7 +73,7 @@ def _scan(qids: list, matrix: np.ndarray, k: int, itself: bool):
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, itself: bool = False) -> DataFrame:
     """(qid, vec_id, similarity, rank): exact cosine top ``k`` of dense vectors (vec_id, embedding) for ``queries`` (qid, query).
 
-    A flat scan: one pass over the vectors for each block of ``QUERIES`` queries, which travel to the tasks; every batch
+    A flat scan: one pass over the vectors for each block of ``QUERIES`` queries, which travel to the tasks; every task
     gives its ``k`` best of each query. A vector is not its own neighbour unless ``itself``.
     """
     first = vectors.schema["vec_id"].dataType.simpleString()
@@ -111,8 +115,8 @@ def bm25_leg(queries: DataFrame, posts: DataFrame, k: int, cfg: Search = SEARCH)
     return top(scored, "qid", k, F.desc("bm25"), F.asc("doc_id"), rank="keyword_rank")
 
 
-def name_leg(queries: DataFrame, files: DataFrame, seen: DataFrame) -> DataFrame:
-    """(qid, path, share, exact) of further files whose name answers a query (qid, query): ``files`` (path) not yet ``seen`` (qid, path).
+def name_leg(queries: DataFrame, files: DataFrame) -> DataFrame:
+    """(qid, path, share, exact) of all files (path) whose name answers a query (qid, query).
 
     Query terms and name words meet in an equi-join, words of four letters or more without a final s; what met is judged by the name functions.
     """
@@ -122,7 +126,7 @@ def name_leg(queries: DataFrame, files: DataFrame, seen: DataFrame) -> DataFrame
     asked = queries.select("qid", "query", F.explode(F.array_distinct(F.array_append(F.transform(T.query_terms(F.col("query")), root), whole))).alias("w"))
     words = F.transform(F.split(T.name_words(F.col("path")), r"\s+"), root)
     names = files.select("path").distinct().select("path", F.explode(F.array_distinct(F.concat(words, F.array(name, T.stem_of(name))))).alias("w"))
-    met = asked.join(names, "w").select("qid", "query", "path").distinct().join(seen, ["qid", "path"], "left_anti")
+    met = asked.join(names, "w").select("qid", "query", "path").distinct()
     judged = met.select("qid", "path", T.name_share(F.col("path"), F.col("query")).alias("share"), T.name_exact(F.col("path"), F.col("query")).alias("exact"))
     return judged.where("share > 0 OR exact")
 

@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import providers
 from .functions import text as T
 from .operators import evaluate, match, privacy, rag, redact, results, retrieval, scope, state, versions
+from .operators.postings_index import PostingsIndex
+from .operators.vector_index import VectorIndex
 from .plans import index, match_run as M, search as S
 from .queries import FILES, ORACLE, query, sql_name_words, sql_terms
+from .scratch import Scratch
+from .settings import SEARCH
 from .sources import sinks
 from .sources.corpus import document_files, table
+from .sources.tables import KeyedTable
 
 
 def _labelled(values: dict[str, object]) -> str:
@@ -539,7 +544,7 @@ def search_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.lpad(d.cast("string"), 6, "0")
     asked = table(spark, sf_dir, "documents").where(d % 100 == 0).select(d.alias("qid"), F.when(d % 3 == 0, F.concat(F.lit("reports of doc "), number)).when(d % 3 == 1, F.concat(F.lit("doc_"), number)).otherwise("nothing here").alias("query"))
     seen = asked.select("qid", F.lit("").alias("path")).limit(0)
-    return retrieval.name_leg(asked, document_files(spark, sf_dir), seen).select("qid", "path", "exact", F.round("share", 6).alias("share"))
+    return retrieval.name_leg(asked, document_files(spark, sf_dir)).join(seen, ["qid", "path"], "left_anti").select("qid", "path", "exact", F.round("share", 6).alias("share"))
 
 
 @query(rf"""
@@ -548,3 +553,36 @@ SELECT path, CAST(row_number() OVER (ORDER BY mtime DESC, path) AS INTEGER) AS p
 def search_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.search_text(document_files(spark, sf_dir), "proj:src5 type:doc before:2030")
     return found.select("path", "position", "relevance", F.md5("snippet").alias("snippet"), "location")
+
+
+@query(ORACLE["bm25_topk"])
+def bm25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword leg over a stored index that saw its documents in batches: some with an older text first, some that were deleted again."""
+    docs, queries = document_files(spark, sf_dir).select("doc_id", "text"), _queries(spark, sf_dir)
+    index = PostingsIndex(spark, Scratch(spark, "bm25_segments").root)
+    index.apply(docs.where("doc_id % 3 <> 0").unionByName(docs.where("doc_id % 3 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), "text")))
+    index.apply(docs.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.reverse("text")).otherwise(F.col("text")).alias("text")), docs.where("doc_id % 3 = 0").select((-1 - F.col("doc_id")).alias("doc_id")))
+    index.apply(docs.where("doc_id % 6 = 0"))
+    terms = queries.select("qid", F.explode(T.query_terms(F.col("query"))).alias("w")).select("qid", T.stem(F.col("w")).alias("term"))
+    return index.bm25(terms, SEARCH.candidates).select("qid", "doc_id", "bm25", "keyword_rank")
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 100 = 1 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 100 <> 2")
+def rows_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table after a batch that replaces a hundredth of its keys and deletes another, taken twice."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    stored = KeyedTable(spark, Scratch(spark, "rows_upserted").root, "o_orderkey")
+    stored.upsert(orders, batch=0)
+    changed, gone = orders.where("o_orderkey % 100 = 1").withColumn("o_totalprice", -F.col("o_totalprice")), orders.where("o_orderkey % 100 = 2").select("o_orderkey")
+    for _ in range(2):
+        stored.upsert(changed, gone=gone, batch=1)
+    return stored.read()
+
+
+@query()
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest 60 of every hundredth vector by cells and codes, ranked by exact cosine."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = VectorIndex(spark, Scratch(spark, "vector_index").root, least_rows=1000)
+    index.build(v)
+    return index.search(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), SEARCH.candidates)

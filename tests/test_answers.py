@@ -92,7 +92,7 @@ def near(wanted, hay, threshold):
 def test_near_quotes_by_brute_force(spark, longest, length, kinds):
     rng = random.Random(7)
     words = [f"word{i}" for i in range(kinds)]
-    texts = [[rng.choice(words) for _ in range(rng.randint(5, longest))] for _ in range(40)]
+    texts = [[rng.choice(words) for _ in range(rng.randint(5, longest))] for _ in range(40 if longest < 100 else 14)]
     quotes = []
     for i in range(30):
         t = rng.choice(texts)

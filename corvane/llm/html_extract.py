@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -19,11 +20,18 @@ from pyspark.sql import DataFrame, functions as F
 from ..scratch import Scratch
 from .urls import parts
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+COMMENT = r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
+NAME = r"<(/?)([a-zA-Z][^\s/>]*+)"
+#: A tag whose values in quotes may hold a ``>``, and one that ends with the first.
+TAG = re.compile(rf"""{COMMENT}|{NAME}((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+PLAIN = re.compile(rf"{COMMENT}|{NAME}([^>]*+)>", re.S)
+#: Tags of a page with a quote that nothing closes, each of which was looked for to the end; with more, quotes mean nothing.
+TORN = 16
+UNQUOTED = re.compile(r"""=\s*[^\s"'>]*/$""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I | re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select button".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas object select button annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br math mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle mspace mpadded mphantom menclose semantics".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXTUAL = HEADINGS | frozenset("p li pre blockquote dt dd td th figcaption caption".split())
 DROPPED = frozenset("nav aside footer form head menu dialog fieldset".split())
@@ -31,9 +39,13 @@ DROPPED = frozenset("nav aside footer form head menu dialog fieldset".split())
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-#: Words of a class, id or role that mark what isn't the article; those in STEMS also with an ending.
+#: Elements that a class, id or role can mark as not of the article: boxes. Headings, paragraphs, quotations, tables and figures are what
+#: an article says, whatever they are called.
+BOXES = frozenset("div section ul ol dl span center details summary".split())
+#: Words of a class, id or role that mark what isn't the article, those in STEMS also with an ending, if the rest of the name says nothing else.
 MARKS = frozenset("nav menu navbar navigation sidebar aside ad ads adv advert banner promo sponsor sponsored notice notices cookie cookies consent gdpr alert comment comments disqus share sharing social related recommended breadcrumb breadcrumbs popup modal overlay subscribe newsletter signup login form search widget toolbar pagination pager skip complementary contentinfo footer toc".split())
 STEMS = ("advert", "comment", "sidebar", "cookie", "newsletter", "subscri", "breadcrumb", "navig", "sponsor", "promo")
+PLAIN_WORDS = frozenset("the a of my js is has no id box block wrap wrapper container content list area section group inner outer item items entry bar panel row col column cell unit slot top bottom left right center header head title body main page site post posts article articles story stories blog news user reader latest more global primary secondary desktop mobile small large big inline sticky fixed new hidden visible link links button buttons icon icons text message info card cards".split())
 OUTER_MARKS = frozenset("header masthead topbar banner".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
@@ -67,6 +79,14 @@ class Node:
         return ">".join(reversed(labels))
 
 
+@lru_cache(1 << 14)
+def _marks(name: str, inside: bool) -> bool:
+    """A name that says no more than that its box is a menu, notice, advert, form or the like: ``ad-box``, not ``ad-history``."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    known = [w in MARKS or w.startswith(STEMS) and len(w) < 14 or not inside and w in OUTER_MARKS for w in words]
+    return any(known) and all(k or w in PLAIN_WORDS or w.isdigit() or len(w) == 1 for k, w in zip(known, words, strict=True))
+
+
 def _open(tag: str, attributes: str, parent: Node, number: int, winner: list[str]) -> Node:
     label, marked = tag, False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -77,8 +97,8 @@ def _open(tag: str, attributes: str, parent: Node, number: int, winner: list[str
             continue
         if name == "class":
             label += "".join("." + re.sub(r"\d+", "#", x) for x in value.split())
-        words = {w.lower() for w in WORDS.findall(value)}
-        marked |= bool(words & MARKS) or any(w.startswith(STEMS) for w in words) or not parent.inside and bool(words & OUTER_MARKS)
+        if tag in BOXES:
+            marked |= any(_marks(x, parent.inside) for x in value.split())
     if tag in ("article", "main", "body", "html"):
         marked = False
     dropped = parent.dropped or marked or tag in DROPPED or tag == "header" and not parent.inside
@@ -162,15 +182,24 @@ class Page:
                 if linked:
                     links += len(s)
 
-        done, n = 0, len(page)
+        done, n, last, torn = 0, len(page), page.rfind(">"), 0
         while done < n:
-            m = TAG.search(page, done)
-            if not m:
-                add(page[done:])
+            at_ = page.find("<", done)
+            if at_ < 0 or at_ > last and not page.startswith("<!--", at_):
+                # no tag ends from here on
+                comment = page.find("<!--", done) if at_ >= 0 else -1
+                add(page[done:] if comment < 0 else page[done:comment])
                 break
-            add(page[done : m.start()])
+            m = TAG.match(page, at_) if torn < TORN else None
+            if not m and (m := PLAIN.match(page, at_)) and m[2]:
+                torn += 1
+            if not m:
+                add(page[done : at_ + 1])
+                done = at_ + 1
+                continue
+            add(page[done:at_])
             done = m.end()
-            close, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            close, tag, rest = m[1], m[2], m[3]
             if not tag:
                 continue
             tag = tag.lower()
@@ -183,9 +212,11 @@ class Page:
             inline = tag in INLINE
             if not close:
                 if tag in RAW:
-                    if not rest.endswith("/"):
-                        end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, done)
-                        done = end.end() if end else n
+                    alone = rest.endswith("/") and not UNQUOTED.search(rest)
+                    if not alone or tag in ("script", "style"):
+                        end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, done)
+                        if end or not alone:
+                            done = (page.find(">", end.end()) + 1 or n) if end else n
                     continue
                 if not inline:
                     flush()

@@ -1,4 +1,6 @@
+import re
 import resource
+import time
 from collections import Counter
 
 import pytest
@@ -50,6 +52,37 @@ def test_labelled_pages(kind):
     assert Page(page).text() == "\n\n".join(want)
 
 
+#: What an article says, whatever its elements are called, and what it doesn't.
+KEPT = [
+    '<h2 id="search-algorithms">Search algorithms</h2>', '<h2 id="advertising-history">Advertising history</h2>', '<h2 id="notice">Notice</h2>', '<h2 id="promotion">Promotion</h2>',
+    '<section class="related-work">Earlier work</section>', '<p class="form">A form</p>', '<div id="social-history">Its social history</div>', '<table class="widget-prices"><tr><td>Prices</td></tr></table>',
+    '<blockquote class="comment">A quotation</blockquote>', "<p>The area is <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here</p>",
+]
+GONE = [
+    '<div class="ad-box"><p>buy</p></div>', '<div id=comments><p>first!</p></div>', '<div class="cookie-notice">ok</div>', '<ul class="share-buttons"><li>tell</ul>', '<section class="related-posts"><p>more</p></section>',
+    '<div class="newsletter-signup-form">join</div>', '<script src=/a/>var leak=1;</script>', '<script src="a"/>var leak=2;</script>', "<style/>p{}</style>", '<div class="post-comments">no</div>', '<div class="sidebar-2">no</div>',
+]
+
+
+@pytest.mark.parametrize("part", KEPT)
+def test_kept_in_the_article(part):
+    text = " ".join(re.sub("<[^>]*>", "", part).split())
+    assert Page(f"<body>{MENU}<article><h1>Headline</h1><p>{A}</p>{part}<p>{B}</p></article>{FOOT}").text() == "\n\n".join(["Headline", A, text, B])
+
+
+@pytest.mark.parametrize("part", GONE)
+def test_left_out_of_the_article(part):
+    assert Page(f"<body>{MENU}<article><h1>Headline</h1><p>{A}</p>{part}<p>{B}</p></article>{FOOT}").text() == "\n\n".join(["Headline", A, B])
+
+
+@pytest.mark.parametrize("junk", ["<a ", "<a '", '<a "\'>', "<", "<!", "<!-- ", "</script ", "<script ", "<a href='>", '<p class="', "< <a", "<svg/", "<script></script "])
+def test_torn_tags_take_linear_time(junk):
+    for tail in ("", "<p>end</p>"):
+        began = time.process_time()
+        Page(f"<article><p>{A}</p>" + junk * (1_000_000 // len(junk)) + tail).text()
+        assert time.process_time() - began < 4
+
+
 def test_consensus_and_edges(spark):
     # one short page would choose its related box by itself; its host's other pages show where the text lies
     long = "<html><body><div class=main><p>" + "long text " * 40 + "</p></div><div class=extra><p>few</p></div></body></html>"

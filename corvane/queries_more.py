@@ -16,6 +16,7 @@ from .settings import SEARCH
 from .sources import sinks
 from .sources.corpus import document_files, table
 from .sources.tables import KeyedTable
+from .streaming import answers
 
 
 def _labelled(values: dict[str, object]) -> str:
@@ -487,6 +488,25 @@ def outbound_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", F.md5("redacted").alias("redacted"), "masked", "redacted_values")
 
 
+@query("""
+SELECT conv_id, turn, md5(replace(replace(coalesce(text, ''), ' a', ' ' || role), '.', '. ' || role || ' ' || turn)) AS restored
+FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL
+""")
+def answers_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as an answer that comes in parts of seven characters, so most placeholders are split."""
+    turns = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL")
+    sent = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(" a"), F.lit(" [NAME_1]")), F.lit("."), F.lit(". [NAME_1] [NAME_2]"))
+    names = F.create_map(F.lit("[NAME_1]"), F.col("role"), F.lit("[NAME_2]"), F.col("turn").cast("string"))
+    keyed = turns.select(F.concat_ws(":", "conv_id", "turn").alias("request"), sent.alias("sent"), names.alias("names"))
+    last = F.floor(F.greatest(F.length("sent") - 1, F.lit(0)) / 7).cast("int")
+    parts = keyed.withColumn("part", F.explode(F.sequence(F.lit(0), last))).select(
+        "request", "part", F.substring("sent", F.col("part") * 7 + 1, F.lit(7)).alias("text"), (F.col("part") == last).alias("last"), F.when(F.col("part") == 0, F.col("names")).alias("names")
+    )
+    whole = answers.restored(parts).groupBy("request").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "").alias("whole"))
+    key = F.split("request", ":")
+    return whole.select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), F.md5("whole").alias("restored"))
+
+
 # ------------------------------------------------------------------ versions and search
 @query("""
 WITH RECURSIVE d AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN 'resume' WHEN 1 THEN 'jd' WHEN 2 THEN 'resume' ELSE 'notes' END AS t FROM documents),

@@ -120,11 +120,14 @@ class ContextTrees:
 def fit(docs: DataFrame, *, order: int = ORDER, sample_per_lang: int = SAMPLE_PER_LANG, max_langs: int = MAX_LANGS) -> tuple | None:
     """The arguments of ``ContextTrees`` for the labelled rows of ``docs`` (text, lang); None without any.
 
-    The sample is every row whose text's hash lies under a threshold that lets about
-    ``sample_per_lang`` rows of each language through: one pass, no sort, the same rows in every run.
+    The sample is every row whose hash of text and doc_id (where ``docs`` has one) lies under a threshold that lets
+    about ``sample_per_lang`` rows of each language through: one pass, no sort, the same rows in every run. A text
+    that many documents repeat is drawn as often as its share; rows with equal lang, text and doc_id count once. So
+    the driver gets at most ``order + 1`` table entries for each byte of about ``sample_per_lang`` texts a language.
     More than ``max_langs`` languages raise an error, since the tables grow with their number; none is left out.
     """
-    labelled = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND lang <> ''")
+    drawn = F.xxhash64(F.col("text").cast("string"), *([F.col("doc_id").cast("string")] if "doc_id" in docs.columns else []))
+    labelled = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), drawn.alias("drawn")).where("lang IS NOT NULL AND text IS NOT NULL AND lang <> ''")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
     if not sizes:
         return None
@@ -132,7 +135,8 @@ def fit(docs: DataFrame, *, order: int = ORDER, sample_per_lang: int = SAMPLE_PE
         raise ValueError(f"lang has more than {max_langs} values: raise max_langs, or map rare and mistyped ones to null first")
     langs = sorted(sizes)
     share = F.element_at(F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample_per_lang / sizes[k]))))), F.col("lang"))
-    sample = labelled.where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20)) < share)
+    # a third of all rows may be one row: what repeats meets in partial aggregates, so its copies are not shuffled
+    sample = labelled.where((F.pmod("drawn", F.lit(1 << 20)) / (1 << 20)) < share).groupBy("lang", "drawn").agg(F.first("text").alias("text")).select("lang", "text")
     rows = sample.mapInArrow(_counts(order), "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(rows):
         return None

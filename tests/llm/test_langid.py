@@ -72,3 +72,15 @@ def test_too_many_languages_are_an_error(spark):
     assert langid.fit(df, max_langs=4) is not None
     with pytest.raises(ValueError, match="more than 3"):
         langid.fit(df, max_langs=3)
+
+
+def test_the_sample_stays_bounded_when_one_text_fills_the_table(spark):
+    same = spark.range(3000).selectExpr("id AS doc_id", "'the same words' AS text", "'en' AS lang")
+    other = spark.range(50).selectExpr("id + 5000 AS doc_id", "concat('der satz ', id) AS text", "'de' AS lang")
+    read = lambda model: dict(zip(model[1], (sum(n for n, k, l in zip(model[5], model[2], model[4]) if k == 0 and l == i) for i in range(len(model[1])))))  # noqa: E731, E741
+    size = len(langid.letters("the same words")) + 1
+    got = read(langid.fit(same.union(other), sample_per_lang=100))
+    # copies under different ids are drawn each, about a hundred of 3,000; rows equal in all three columns count once
+    assert 50 * size <= got["en"] <= 200 * size and got["de"] > 0
+    alike = same.selectExpr("7L AS doc_id", "text", "lang")
+    assert read(langid.fit(alike.union(other), sample_per_lang=3000))["en"] == size

@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions import text as T
 from ..operators import scope
 from ..operators.state import under
 from ..registry import SOURCES
-from . import files
+from . import files, listing
 
 
 @dataclass(frozen=True)
@@ -31,21 +32,14 @@ class ContentSource:
 
 @SOURCES.register("folders")
 def folders(roots: list[str], glob: str = "*", rules: DataFrame | None = None) -> ContentSource:
-    """Files below folders that Spark lists, those in scope and not ignored by ``rules`` (of ``scope.ignore_rules``).
+    """Files below folders, those in scope, named like ``glob`` and not ignored by ignore files or ``rules`` (of ``scope.ignore_rules``).
 
-    Names and sizes come first, so that only files in scope are decoded. Spark reads no files whose names begin with a
-    dot, so the texts of ignore files come as a table.
+    The walk opens no excluded folder and only the files that it keeps are read, each once.
     """
 
     def read(spark: SparkSession) -> DataFrame:
-        found = None
-        for root in roots:
-            listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-            local = listed.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
-            kept = local.where(scope.reject_reason(F.col("path"), F.col("size"), F.lit(root)).isNull())
-            wanted = kept if rules is None else scope.ignored(kept, rules).where("NOT ignored")
-            texts = files.read_files(spark, root, glob).withColumn("path", F.regexp_replace("path", "^file:/*", "/")).join(wanted.select("path"), "path", "left_semi")
-            found = texts if found is None else found.unionByName(texts)
-        return found
+        found = listing.walk(spark, roots, rules=rules).files
+        named = found if glob == "*" else found.where(F.rlike(T.file_name(F.col("path")), F.lit(scope.glob_to_regex(glob.lower()))))
+        return files.read_paths(named)
 
     return ContentSource("folders", roots, read)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
@@ -144,6 +145,35 @@ def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return found.select("path", "length", "modificationTime", "content", F.sha2("content", 256).alias("file_hash")).mapInPandas(_decode(dict(READERS)), TEXT)
 
 
+def read_paths(found: DataFrame) -> DataFrame:
+    """(path, size, mtime, text, error, file_hash) of the files of ``found`` (path, size, mtime), which tasks open one by one.
+
+    A file that went away since it was listed is a row with its error and without a hash.
+    """
+    decoders = dict(READERS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        decode = _decode(decoders)
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                try:
+                    where, path = fs.FileSystem.from_uri(r.path)
+                    with where.open_input_stream(path) as stream:
+                        raw, error = stream.read(), None
+                except OSError as e:
+                    raw, error = b"", f"{type(e).__name__}: {e}"[:200]
+                one = pd.DataFrame({"path": [r.path], "content": [raw], "length": [r.size], "modificationTime": [r.mtime], "file_hash": [hashlib.sha256(raw).hexdigest()]})
+                if error:
+                    yield pd.DataFrame({"path": [r.path], "size": [r.size], "mtime": [r.mtime], "text": [None], "error": [error], "file_hash": [None]})
+                else:
+                    yield from decode(iter([one]))
+
+    # files are dealt singly: a task's share does not depend on how the listing was stored
+    return found.select("path", "size", "mtime").repartition("path").mapInPandas(run, TEXT)
+
+
 def repeated_lines(lines: DataFrame, share: float = 0.5) -> DataFrame:
     """(doc, page, n, line) rows without lines whose key is on ``max(2, share)`` of a document's pages."""
     keyed = lines.withColumn("key", T.line_key(F.col("line")))

@@ -9,9 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
+from ..operators.state import manifest_diff
 
 ATTEMPTS = 3
 QUEUE = "path string, op string, seq long, attempts int"
+ADMITTED = "root string, kind string, path string, dest string, ts timestamp, dropped long"
+ADMITTED_COLUMNS = ["root", "kind", "path", "dest", "ts", "dropped"]
 
 
 def operations(events: DataFrame) -> DataFrame:
@@ -46,6 +49,80 @@ def overflow(events: DataFrame, per_second: int = 400, late: str = "10 seconds")
     return counted.where(F.col("events") > per_second).select(F.col("w.start").alias("second"), "events", (F.col("events") - per_second).alias("dropped"))
 
 
+class Admission(StatefulProcessor):
+    """Per watched root: when its window began and how many events it has taken.
+
+    A window is not bound to the clock: the first event a second or more after the last one's begin opens the next.
+    """
+
+    def __init__(self, per_second: int):
+        self.most = per_second
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.window = handle.getValueState("window", StructType([StructField("began", LongType()), StructField("taken", LongType())]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        began, taken = self.window.get() if self.window.exists() else (None, 0)
+        dropped, last = 0, None
+        for batch in rows:
+            batch = batch.sort_values(["ts", "path"], kind="stable")
+            keep = []
+            for at in batch["ts"].astype("datetime64[us]").astype("int64"):
+                if began is None or at - began >= 1_000_000:
+                    began, taken = int(at), 0
+                taken += 1
+                keep.append(taken <= self.most)
+            out = batch.loc[keep, ["kind", "path", "dest", "ts"]]
+            if len(out):
+                yield out.assign(root=key[0], dropped=0)[ADMITTED_COLUMNS]
+            if len(out) < len(batch):
+                dropped += len(batch) - len(out)
+                newest = batch["ts"].max()
+                last = newest if last is None else max(last, newest)
+        if began is not None:
+            self.window.update((began, taken))
+        if dropped:
+            yield pd.DataFrame({"root": [key[0]], "kind": ["reconcile"], "path": [key[0]], "dest": [None], "ts": [last], "dropped": [dropped]})
+
+    def close(self) -> None:
+        pass
+
+
+def admitted(events: DataFrame, per_second: int = 400) -> DataFrame:
+    """(root, kind, path, dest, ts, dropped): the events of (root, kind, path, dest, ts) that are taken, and reconcile requests.
+
+    Of each root at most ``per_second`` events a window are taken; windows open with an event, not with a second of the
+    clock. A micro-batch that drops some gives one row of kind ``reconcile`` for the root with their number; its full diff
+    finds what they were about. Late events count in the running window. Rows without a root, path or time are left
+    out. Needs the RocksDB state store provider.
+    """
+    keyed = events.select("root", "kind", "path", "dest", "ts").where("root IS NOT NULL AND path IS NOT NULL AND ts IS NOT NULL")
+    return keyed.groupBy("root").transformWithStateInPandas(Admission(per_second), outputStructType=ADMITTED, outputMode="Append", timeMode="None")
+
+
+def reconciled(taken: DataFrame, disk: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(path, op) of a micro-batch of ``admitted``: its operations, and for roots with a request the full diff below them.
+
+    ``disk`` and ``manifest`` have (path, mtime, size). A path that both name comes once, with the diff's operation, which is
+    the newer. Files meet requests by their folders in an equi-join; without a request neither table is read.
+    """
+    requests = taken.where("kind = 'reconcile'")
+    ops = operations(taken.where("kind <> 'reconcile'")).groupBy("path").agg(F.max_by("op", F.struct("ts", "op")).alias("op"))
+    if requests.isEmpty():
+        return ops
+    tidy = lambda c: F.regexp_replace(F.lower(F.regexp_replace(c, r"\\", "/")), "(?<=.)/+$", "")
+    roots = requests.select(tidy(F.col("root")).alias("__dir")).distinct()
+
+    def below(files: DataFrame) -> DataFrame:
+        parts = F.split(tidy(F.col("path")), "/")
+        above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+        return files.select("path", "mtime", "size", F.explode(above).alias("__dir")).join(roots, "__dir", "left_semi").drop("__dir").distinct()
+
+    diff = manifest_diff(below(disk), below(manifest)).select("path", "op")
+    key = lambda d: d.withColumn("__key", tidy(F.col("path")))
+    return diff.unionByName(key(ops).join(key(diff).select("__key"), "__key", "left_anti").select("path", "op"))
+
+
 class Queue(StatefulProcessor):
     """Per path the latest operation. A ``done`` or ``fail`` of an older number changes nothing; three failures give up.
 

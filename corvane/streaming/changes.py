@@ -105,6 +105,7 @@ def reconciled(taken: DataFrame, disk: DataFrame, manifest: DataFrame) -> DataFr
 
     ``disk`` and ``manifest`` have (path, mtime, size). A path that both name comes once, with the diff's operation, which is
     the newer. Files meet requests by their folders in an equi-join; without a request neither table is read.
+    ``taken`` is read several times, so persist the micro-batch first.
     """
     requests = taken.where("kind = 'reconcile'")
     ops = operations(taken.where("kind <> 'reconcile'")).groupBy("path").agg(F.max_by("op", F.struct("ts", "op")).alias("op"))

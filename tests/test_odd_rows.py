@@ -31,3 +31,11 @@ DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 def test_title_keeps_zeros_and_drops_blanks(spark, world):
     rows = [(0, "call 0170", "en", "src1", 9), (1, "  0 of 10\n1101", "en", "src1", 14), (2, " \n 1 left 1 ", "en", "src1", 12), (3, "", "en", "src1", 0)]
     check(spark, QUERIES["shown_texts"], ORACLE["shown_texts"], world(documents=spark.createDataFrame(rows, DOCUMENT)))
+
+
+@pytest.mark.parametrize("name", ["search_flagship", "search_filtered"])
+def test_short_documents_are_searched(spark, world, name):
+    words = "barley harvest river stone".split()
+    rows = [(i, f"{words[i % 4]} {words[i % 3]}" if i % 2 else f"{words[i % 4]} with many more words than twenty letters", "en", "src3", 1) for i in range(12)]
+    items = spark.createDataFrame([(0, "barley harvest in autumn"), (1, "river stone")], "item_id long, text string")
+    check(spark, QUERIES[name], ORACLE[name], world(documents=spark.createDataFrame(rows, DOCUMENT), benchmark=items))

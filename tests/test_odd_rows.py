@@ -4,7 +4,11 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from corvane import queries_more  # noqa: F401
+from corvane.functions import text as T
+from corvane.operators import retrieval
 from corvane.queries import ORACLE, QUERIES
 
 from .oracle import SF, TABLES, check
@@ -39,3 +43,22 @@ def test_short_documents_are_searched(spark, world, name):
     rows = [(i, f"{words[i % 4]} {words[i % 3]}" if i % 2 else f"{words[i % 4]} with many more words than twenty letters", "en", "src3", 1) for i in range(12)]
     items = spark.createDataFrame([(0, "barley harvest in autumn"), (1, "river stone")], "item_id long, text string")
     check(spark, QUERIES[name], ORACLE[name], world(documents=spark.createDataFrame(rows, DOCUMENT), benchmark=items))
+
+
+NAMES = ["/a/Cats.txt", "/b/cats.txt", "/b/cat.txt", "/a/doc_01.txts", "/a/docsTides.csv", "/a/.hidden", "/a/tide tides.md", "/a/", "E:\\sea\\tides.csv", "/a/docs", "/c/x.docs"]
+ASKED = ["cats", "cat", "cats cats cat", "docs tides txt", "txt", "csv tides", "  TIDES  ", "doc_01", "doc_01.txts", ".hidden", "", "the", "docs", "doc docs txts", "md tide tides", "x.docs"]
+
+
+def test_names_are_judged_as_pair_by_pair(spark):
+    queries = spark.createDataFrame(list(enumerate(ASKED)), "qid long, query string")
+    files = spark.createDataFrame([(n,) for n in [*NAMES, *NAMES]], "path string")
+    pairs = queries.crossJoin(files.distinct()).select("qid", "path", T.name_share(F.col("path"), F.col("query")).alias("share"), T.name_exact(F.col("path"), F.col("query")).alias("exact")).where("share > 0 OR exact")
+    assert sorted(map(tuple, retrieval.name_leg(queries, files).select("qid", "path", "share", "exact").collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_a_word_of_every_name_is_spread_over_tasks(spark):
+    files = spark.range(2000).select(F.concat(F.lit("/c/doc_"), "id", F.lit(".txt")).alias("path"))
+    queries = spark.range(5).select(F.col("id").alias("qid"), F.lit("reports of doc").alias("query"))
+    found = retrieval.name_leg(queries, files).withColumn("task", F.spark_partition_id())
+    assert found.count() == 10000
+    assert found.groupBy("task").count().agg(F.max("count")).first()[0] < 5000

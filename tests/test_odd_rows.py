@@ -62,3 +62,13 @@ def test_a_word_of_every_name_is_spread_over_tasks(spark):
     found = retrieval.name_leg(queries, files).withColumn("task", F.spark_partition_id())
     assert found.count() == 10000
     assert found.groupBy("task").count().agg(F.max("count")).first()[0] < 5000
+
+
+def test_asked_terms_alone_are_shuffled_and_scored_alike(spark):
+    texts = ["barley barley wheat and oats", "the and of", "", "oats", "rye wheat barley stones", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "barley"), (0, "oat"), (1, "wheat"), (1, "wheat")], "qid long, term string")
+    every, few = (retrieval.postings(docs, "doc_id", F.col("text"), a) for a in (None, asked))
+    assert few.where("term IS NULL").count() == 1 and few.count() < every.count()
+    assert sorted(map(tuple, few.groupBy("doc_id").agg(F.sum("tf"), F.max("dl")).collect())) == sorted(map(tuple, every.groupBy("doc_id").agg(F.sum("tf"), F.max("dl")).collect()))
+    assert sorted(map(tuple, retrieval.bm25_leg(asked, few, 9).collect())) == sorted(map(tuple, retrieval.bm25_leg(asked, every, 9).collect()))

@@ -122,9 +122,12 @@ def spent_since(usage: DataFrame, since: Column, provider: str | None = None) ->
 
 
 def with_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """``usage`` (model, prompt_tokens, completion_tokens) with ``cost_usd`` by ``prices`` (model, price_in, price_out) per million tokens."""
+    """``usage`` (model, prompt_tokens, completion_tokens) with ``cost_usd`` by ``prices`` (model, price_in, price_out) per million tokens, a small table.
+
+    Few models have all the rows, so the prices travel to the rows.
+    """
     named = lambda d: d.withColumn("__model", T.model_name(F.col("model")))
-    priced = named(usage).join(named(prices).select("__model", "price_in", "price_out"), "__model", "left")
+    priced = named(usage).join(F.broadcast(named(prices).select("__model", "price_in", "price_out")), "__model", "left")
     return priced.withColumn("cost_usd", T.cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("price_in"), F.col("price_out"))).drop("__model", "price_in", "price_out")
 
 

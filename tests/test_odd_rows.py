@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane import queries_more  # noqa: F401
 from corvane.functions import text as T
-from corvane.operators import retrieval
+from corvane.operators import retrieval, state
 from corvane.queries import ORACLE, QUERIES
 
 from .oracle import SF, TABLES, check
@@ -72,3 +72,10 @@ def test_asked_terms_alone_are_shuffled_and_scored_alike(spark):
     assert few.where("term IS NULL").count() == 1 and few.count() < every.count()
     assert sorted(map(tuple, few.groupBy("doc_id").agg(F.sum("tf"), F.max("dl")).collect())) == sorted(map(tuple, every.groupBy("doc_id").agg(F.sum("tf"), F.max("dl")).collect()))
     assert sorted(map(tuple, retrieval.bm25_leg(asked, few, 9).collect())) == sorted(map(tuple, retrieval.bm25_leg(asked, every, 9).collect()))
+
+
+def test_rows_stay_where_they_are_for_prices(spark):
+    usage = spark.range(1000).select(F.lit("m").alias("model"), F.col("id").alias("prompt_tokens"), F.lit(0).alias("completion_tokens"))
+    priced = state.with_cost(usage, spark.createDataFrame([("M:latest", 1e6, 0.0)], "model string, price_in double, price_out double"))
+    assert "hashpartitioning" not in priced._jdf.queryExecution().executedPlan().toString()
+    assert priced.agg(F.sum("cost_usd")).first()[0] == sum(range(1000))

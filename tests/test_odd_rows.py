@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corvane import queries_more  # noqa: F401
 from corvane.functions import text as T
 from corvane.operators import retrieval, state
+from corvane.plans import search as S
 from corvane.queries import ORACLE, QUERIES
 
 from .oracle import SF, TABLES, check
@@ -79,3 +80,12 @@ def test_rows_stay_where_they_are_for_prices(spark):
     priced = state.with_cost(usage, spark.createDataFrame([("M:latest", 1e6, 0.0)], "model string, price_in double, price_out double"))
     assert "hashpartitioning" not in priced._jdf.queryExecution().executedPlan().toString()
     assert priced.agg(F.sum("cost_usd")).first()[0] == sum(range(1000))
+
+
+def test_search_without_vectors_makes_no_bags(spark):
+    files = spark.createDataFrame([(1, "/a/x.txt", "p", "barley harvest"), (2, "/a/y.txt", "p", "river")], "doc_id long, path string, project string, text string")
+    queries = spark.createDataFrame([(7, "barley")], "qid long, query string")
+    index = S.prepare(files, vectors=False)
+    assert index.bags is None
+    for given in (None, index):
+        assert [(r.qid, r.path) for r in S.search(files, queries, vectors=False, index=given).collect()] == [(7, "/a/x.txt")]

@@ -24,7 +24,7 @@ from ..scratch import Scratch
 from ..settings import SEARCH, Search
 from ..sources.tables import Versions
 from .retrieval import QUERIES, top
-from .topk import TopK
+from .topk import TopK, rounded
 
 #: Documents of a range, segments of one size that are merged, and the share of dead documents that makes a segment be rewritten.
 RANGE, FAN, DEAD = 128, 4, 0.3
@@ -305,7 +305,7 @@ def _score(shared, k: int, count: bool):
             can = (score + rest[names][None, :] >= least[names][None, :]) & (score > 0) if np.isfinite(least[names]).any() else None
             take(np.flatnonzero(~decides), can)
             d, c = np.nonzero((hits > 0) if can is None else (hits > 0) & can)
-            best.add(names[c], np.round(score[d, c], 6), docs[d], matched[d, c].astype(np.int64))
+            best.add(names[c], rounded(score[d, c]), docs[d], matched[d, c].astype(np.int64))
             best.prune()
         if count:
             some = np.flatnonzero(total)

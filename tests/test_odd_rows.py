@@ -89,3 +89,10 @@ def test_search_without_vectors_makes_no_bags(spark):
     assert index.bags is None
     for given in (None, index):
         assert [(r.qid, r.path) for r in S.search(files, queries, vectors=False, index=given).collect()] == [(7, "/a/x.txt")]
+
+
+def test_similarities_at_a_half_are_rounded_as_in_sql(spark):
+    rows = [(1, [1.0, 127.0, 15.0, 5.0, 2.0]), (2, [-1.0, 127.0, 15.0, 5.0, 2.0])]  # of length 128: a cosine of 0.0078125
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0, 0.0])], "qid long, query array<double>")
+    assert [(r.vec_id, r.similarity) for r in retrieval.nearest(queries, vectors, 2).orderBy("rank").collect()] == [(1, 0.007813), (2, -0.007813)]

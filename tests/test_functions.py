@@ -61,3 +61,13 @@ def test_small_functions(spark):
     assert one(spark, T.says_little(F.col("c"), F.col("t")), c="", t="~~ ||") is True and one(spark, T.says_little(F.col("c"), F.col("t")), c="a lake", t="") is False
     assert one(spark, T.over_budget(F.col("t"), F.lit(2)), t="123456789") is True and one(spark, T.fit_to_budget(F.col("t"), F.lit(2)), t="123456789") == "12345678"
     assert one(spark, T.fenced(F.col("t"), "k"), t="x") == "<<<k\nx\nk>>>"
+
+
+def test_plain_words_are_told_at_one_look(spark, monkeypatch):
+    tokens = ["word", "«Été»", "aba", "ababa", "abab", "ababab", "aab", "bcd", "bcd—", "bcdé", "e", "éé", "ao", "(tide),", "it's", "a1b", "12", "1,5%", "--", "aaab", "abacad", "aXa", "Aa", "xyx", "Ünü", "lllla", "b.c.a", "x" * 40, "ab" * 20, "\U00010400\U00010401a"]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    fast = {r.t: (r.k, r.p) for r in df.select("t", T.token_kind(F.col("t")).alias("k"), T.plain_word(F.col("t")).alias("p")).collect()}
+    monkeypatch.setattr(T, "plain_word", lambda raw: F.lit(False))
+    slow = {r.t: r.k for r in df.select("t", T.token_kind(F.col("t")).alias("k")).collect()}
+    assert {t: k for t, (k, _) in fast.items()} == slow
+    assert {t for t, (_, p) in fast.items() if p} >= {"word", "«Été»", "ao", "(tide),", "abacad", "bcdé"}

@@ -21,12 +21,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from ..sources.tables import Versions
-from .retrieval import QUERIES, nearest, top
+from .retrieval import nearest, top
 from .topk import TopK
 
 #: Rows that models are fitted on, queries that measure recall, and cells at most, whatever the table's size.
 SAMPLE, PROBES, MOST_CELLS, ROUNDS, WORDS = 65_536, 128, 4096, 12, 256
 
+#: Queries of one pass over the codes: a task holds the products with all code words, and the best candidates, of so many.
+BLOCK = 512
+
 
 def kmeans(x: np.ndarray, k: int, seed: int, unit: bool = False) -> np.ndarray:
     """Centres of Lloyd's rounds; an empty cell takes the row that is worst served."""
@@ -179,7 +182,7 @@ class VectorIndex:
         for row in chain(queries.select("qid", "query").toLocalIterator(), [None]):
             if row is not None:
                 block.append(row)
-            if block and (row is None or len(block) == QUERIES):
+            if block and (row is None or len(block) == BLOCK):
                 q = unit(np.array([r["query"] for r in block], dtype=np.float64))
                 near = q @ model.centres.T
                 probed = np.argsort(-near, axis=1)[:, : state["probe"]]

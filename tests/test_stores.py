@@ -170,3 +170,16 @@ def test_blocks_that_cannot_win_are_not_read(spark, tmp_path):
     assert {r.doc_id for r in index.bm25(queries, 2).collect()} == {7, 1007}
     share = index.read_share(queries, 2).first()
     assert share["read"] < share["held"] / 2
+
+
+def test_vector_index_asks_for_few_queries_at_a_time(spark, tmp_path, monkeypatch):
+    from corvane.operators import vector_index
+
+    sizes, look = [], vector_index._look
+    monkeypatch.setattr(vector_index, "_look", lambda shared, most: sizes.append(len(shared.value[0])) or look(shared, most))
+    vectors = spark.createDataFrame(clustered(1300, 1), "vec_id long, embedding array<double>")
+    index = VectorIndex(spark, f"file://{tmp_path}", least_rows=500, k=5)
+    index.build(vectors)
+    found = index.search(vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 5)
+    assert found.groupBy("qid").count().where("count = 5").count() == 1300
+    assert max(sizes) <= 512 and sum(sizes) >= 1300

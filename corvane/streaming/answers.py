@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -67,14 +68,50 @@ class Restorer(StatefulProcessor):
         pass
 
 
+def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Requests whose parts are all there, one after the other: what ``Restorer`` gives for them in one batch."""
+    request: str | None = None
+    names: dict[str, str] = {}
+    parts: dict[int, tuple[str, bool]] = {}
+    out: list[tuple[str | None, int, str]] = []
+
+    def settle() -> None:
+        held, due = "", 0
+        while due in parts:
+            text, last = parts[due]
+            held += text
+            cut = len(held) if last else cut_at(held)
+            out.append((request, due, replaced(held[:cut], names)))
+            held, due = held[cut:], -1 if last else due + 1
+
+    def rows() -> pa.RecordBatch:
+        columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.string()))]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, ["request", "part", "text"])
+
+    for batch in batches:
+        for of, part, text, last, given in zip(*(batch.column(c).to_pylist() for c in ("request", "part", "text", "last", "names")), strict=True):
+            if of != request:
+                settle()
+                request, names, parts = of, {}, {}
+            names.update(given or ())
+            if part is not None:
+                parts[part] = (text or "", bool(last))
+        yield rows()
+    settle()
+    yield rows()
+
+
 def restored(parts: DataFrame) -> DataFrame:
     """(request, part, text): the parts of streamed answers with placeholders put back, in the order of their numbers.
 
     ``parts`` has (request string, part int, text string, last boolean, names map<string, string>): parts count from 0 without
     gaps, ``names`` may be null on all but a request's first one. The texts of a request, joined by part, are its whole answer
     restored, however it was split. A part that comes before an earlier one waits; one that comes again changes nothing; after
-    the last one the request is over. Null texts count as empty, rows without a part number give nothing. Needs the RocksDB
-    state store provider.
+    the last one the request is over. Null texts count as empty, rows without a part number give nothing. A stream
+    needs the RocksDB state store provider; a table holds all parts already and keeps no state.
     """
-    _ = parts.sparkSession.streams  # a table of parts needs the session's state store coordinator too, which comes with it
+    if not parts.isStreaming:
+        dealt = parts.select("request", "part", "text", "last", "names").repartition("request").sortWithinPartitions("request")
+        return dealt.mapInArrow(_at_once, RESTORED)
     return parts.groupBy("request").transformWithStateInPandas(Restorer(), outputStructType=RESTORED, outputMode="Append", timeMode="None")

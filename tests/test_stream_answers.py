@@ -45,3 +45,14 @@ def test_batch_and_empty(spark):
     got = answers.restored(spark.createDataFrame(rows[::-1], SCHEMA)).collect()
     assert "".join(r.text for r in sorted(got, key=lambda r: r.part)) == "Dear Bo, call x"
     assert answers.restored(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_table_needs_no_state(spark):
+    """Parts in any order, repeated, without a number, with a gap and after the last one, as a stream takes them in one batch; null requests too."""
+    rows = [
+        ("a", 1, "E_1] x", False, None), ("a", 0, "to [NAM", False, {"[NAME_1]": "Ann"}), ("a", 0, "to [NAM", False, None), ("a", 2, None, True, None), ("a", 3, "late", False, None),
+        ("b", 0, "one [", False, None), ("b", 2, "gap", True, None), ("b", None, "none", False, {"[NAME_1]": "Bo"}), (None, 0, "[NAME_1]", True, {"[NAME_1]": "Cy"}),
+    ]
+    table = answers.restored(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert "StreamingPythonRunner" not in (plan := table._jdf.queryExecution().toString()) and "TransformWithState" not in plan
+    assert sorted(map(tuple, table.collect()), key=str) == sorted([("a", 0, "to "), ("a", 1, "Ann x"), ("a", 2, ""), ("b", 0, "one "), (None, 0, "Cy")], key=str)

@@ -171,3 +171,39 @@ def test_families_of_frequent_shingles_are_tested_pair_by_pair(spark, monkeypatc
     wanted = brute(rows, 5, 80)
     assert len(set(c for _, c in wanted.values())) > 5
     assert rounds or got == wanted
+
+
+@pytest.mark.parametrize("quiet", [0, 1])
+def test_families_of_any_size_are_tested_whole(spark, monkeypatch, quiet):
+    """Ninety texts of one template, a family that is too large to be tested at once: rounds that end early leave links, which blocks find in several turns."""
+    from corvane.llm import neardup
+
+    rng = random.Random(8)
+    rows = []
+    for n in range(90):
+        own = rng.sample(range(120), rng.choice([2, 3, 4]))
+        rows.append((n, " ".join(f"own{n}x{i}" if i in own else f"b{i}" for i in range(120))))
+    monkeypatch.setattr(neardup, "FAMILY", 50)
+    monkeypatch.setattr(neardup, "BLOCK", 12)
+    monkeypatch.setattr(neardup, "AHEAD", 1, raising=False)
+    monkeypatch.setattr(neardup, "CENTRES", 1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), quiet=quiet).collect()}
+    assert got == brute(rows, 5, 80)
+
+
+@pytest.mark.parametrize("heavy", [1 << 20, 600])
+def test_blocks_meet_each_other_once(spark, monkeypatch, heavy):
+    """Every two of a family's blocks are compared, in one turn only, however many turns and blocks there are."""
+    from corvane.llm import neardup
+    from corvane.scratch import Scratch
+
+    sets = spark.range(200).select("id", F.expr("transform(sequence(0, 19), i -> if(i < 18, CAST(i AS BIGINT), id * 100 + i))").alias("shingles"))
+    families = spark.range(200).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("family"), F.lit(200).cast("long").alias("size"), F.lit(4000).cast("long").alias("weight"))
+    seen = []
+    for ahead in (1, 16):
+        monkeypatch.setattr(neardup, "AHEAD", ahead)
+        monkeypatch.setattr(neardup, "BLOCK", 40)
+        monkeypatch.setattr(neardup, "WEIGHT", heavy)
+        labels = neardup._by_blocks(families, sets, spark.createDataFrame([], "id long, component long"), 80, Scratch(spark, "blocks"), "blocks")
+        seen.append(sorted(map(tuple, labels.collect())))
+    assert seen == [[(i, 0) for i in range(200)]] * 2

@@ -16,6 +16,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -30,11 +31,47 @@ from .topk import TopK, rounded
 RANGE, FAN, DEAD = 128, 4, 0.3
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, doc_id, tf, dl) of the words (doc_id, term, n) of documents one after another."""
+    held: list[pa.RecordBatch] = []  # the rows of a document that may go on in the next batch
+
+    def counted(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        if not len(rows):
+            return
+        ids, n = rows.column(0).combine_chunks(), rows.column(2).to_numpy()
+        new = np.concatenate(([True], pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)))
+        of, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        tf = pa.table({"of": of, "term": rows.column(1), "n": n}).group_by(["of", "term"]).aggregate([("n", "sum")]).combine_chunks()
+        at, dl = tf.column("of").to_numpy(), np.add.reduceat(n.astype(np.int64), first)
+        columns = [tf.column("term"), ids.take(pa.array(first[at])), tf.column("n_sum").cast(pa.int32()), pa.array(dl[at].astype(np.int32))]
+        yield from pa.table(columns, names=["term", "doc_id", "tf", "dl"]).to_batches(max_chunksize=1 << 16)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0)
+        if held and held[-1].column(0)[-1] != ids[0]:
+            yield from counted(held)
+            held = []
+        last = np.flatnonzero(pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False))
+        if len(last):
+            yield from counted([*held, batch.slice(0, int(last[-1]) + 1)])
+            held, batch = [], batch.slice(int(last[-1]) + 1)
+        held.append(batch)
+    if held:
+        yield from counted(held)
+
+
 def terms(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(term, key, tf): stems of all words of three letters or more; ``tf`` leaves stop words out, so it may be 0."""
-    word = docs.select(key, F.explode(F.filter(T.words(text), lambda w: F.length(w) >= 3)).alias("w"))
+    """(term, key, tf, dl): stems of all words of three letters or more; ``tf`` leaves stop words out, so it may be 0, ``dl`` is their sum.
+
+    Counted where a document is, without a shuffle, so the ids have to be unique.
+    """
+    word = docs.select(F.col(key).alias("doc_id"), F.explode(F.filter(T.words(text), lambda w: F.length(w) >= 3)).alias("w"))
     counts = F.when(F.col("w").isin(*T.STOP_WORDS), 0).otherwise(1)
-    return word.select(key, T.stem(F.col("w")).alias("term"), counts.alias("n")).groupBy("term", key).agg(F.sum("n").cast("int").alias("tf"))
+    kind = docs.schema[key].dataType.simpleString()
+    return word.select("doc_id", T.stem(F.col("w")).alias("term"), counts.alias("n")).mapInArrow(_counted, f"term string, doc_id {kind}, tf int, dl int").withColumnRenamed("doc_id", key)
 
 
 class PostingsIndex:
@@ -60,22 +97,24 @@ class PostingsIndex:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{kind}")
 
     def _segment(self, posts: DataFrame, n: int, kind: str) -> dict | None:
-        """Writes postings (term, doc_id, tf) of about ``n`` documents as a segment."""
+        """Writes postings (term, doc_id, tf, dl) of about ``n`` documents as a segment; they are shuffled once, to the place where they are kept."""
         scratch, name = Scratch(self.spark, "segment"), f"segment-{uuid.uuid4().hex}"
         ranges = max(1, -(-n // RANGE))
         posts = scratch.save(posts, "posts")
         rng = F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int")
-        docs = posts.groupBy("doc_id").agg(F.sum("tf").cast("int").alias("dl")).select("doc_id", rng.alias("rng"), "dl")
+        # partial before the shuffle, to a row for each document where its postings lie together
+        docs = posts.groupBy("doc_id").agg(F.max("dl").alias("dl")).select("doc_id", rng.alias("rng"), "dl")
         docs.write.parquet(f"{self.root}/{name}/docs")
         docs = self.spark.read.parquet(f"{self.root}/{name}/docs")
         size = docs.agg(F.count_if(F.col("dl") > 0).alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"), F.count(F.lit(1)).alias("all")).first()
         counted = F.col("tf") > 0
-        blocks = posts.join(docs, "doc_id").groupBy("rng", "term").agg(
+        dealt = posts.withColumn("rng", rng).repartitionByRange("term", "rng")
+        blocks = dealt.groupBy("term", "rng").agg(
             F.collect_list(F.struct("doc_id", "tf", "dl")).alias("p"),  # no more than a range's documents
             F.count_if(counted).alias("df"), F.max("tf").alias("most"), F.min(F.when(counted, F.col("dl"))).alias("least"),
         )
         blocks = blocks.select("rng", "term", F.col("p.doc_id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), "df", "most", "least")
-        blocks.repartitionByRange("term", "rng").sortWithinPartitions("term", "rng").write.parquet(f"{self.root}/{name}/blocks")
+        blocks.sortWithinPartitions("term", "rng").write.parquet(f"{self.root}/{name}/blocks")
         scratch.drop("posts")
         return {"name": name, "docs": size["docs"], "words": size["words"], "all": size["all"], "gone": [], "dead": 0, "dead_words": 0, "dead_all": 0}
 
@@ -88,7 +127,11 @@ class PostingsIndex:
         for s in state["segments"]:
             self._bury(state, s, ids)
         if docs is not None:
-            s = self._segment(terms(docs.where("doc_id IS NOT NULL"), "doc_id", F.col("text")), docs.count(), state["id"])
+            docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+            n = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("ids")).first()
+            if n["rows"] > n["ids"]:  # rows that share an id are one document
+                docs = docs.groupBy("doc_id").agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
+            s = self._segment(terms(docs, "doc_id", F.col("text")), n["rows"], state["id"])
             if s["all"]:
                 state["segments"].append(s)
         self._compact(state)
@@ -126,7 +169,7 @@ class PostingsIndex:
                 return
             posts = None
             for s in merge:
-                one = self._read(state, "blocks", s["name"]).select(F.explode(F.arrays_zip("ids", "tfs")).alias("p"), "term").select("term", F.col("p.ids").alias("doc_id"), F.col("p.tfs").alias("tf"))
+                one = self._read(state, "blocks", s["name"]).select(F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"), "term").select("term", F.col("p.ids").alias("doc_id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
                 one = one.join(self._live_docs(state, s).select("doc_id"), "doc_id", "left_semi")
                 posts = one if posts is None else posts.union(one)
             state["segments"] = [s for s in state["segments"] if s not in merge]

@@ -183,3 +183,33 @@ def test_vector_index_asks_for_few_queries_at_a_time(spark, tmp_path, monkeypatc
     found = index.search(vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 5)
     assert found.groupBy("qid").count().where("count = 5").count() == 1300
     assert max(sizes) <= 512 and sum(sizes) >= 1300
+
+
+def test_terms_are_counted_where_a_document_is(spark):
+    """Postings come with their document's length and without a shuffle, also where a document goes on over several batches."""
+    from corvane.operators.postings_index import terms
+
+    texts = {1: "barley barley the wheat", 2: None, 3: "of", 4: "oats " * 9 + "rye", 5: "the the"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        found = terms(docs.localCheckpoint(), "doc_id", F.col("text"))
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.doc_id, r.term): (r.tf, r.dl) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(1, "barley"): (2, 3), (1, "the"): (0, 3), (1, "wheat"): (1, 3), (4, "oat"): (9, 10), (4, "rye"): (1, 10), (5, "the"): (0, 0)}
+
+
+def test_rows_of_an_index_that_share_an_id_are_one_document(spark, tmp_path):
+    from corvane.operators.postings_index import PostingsIndex
+
+    halves = spark.createDataFrame([(1, "barley wheat"), (2, "oats"), (1, "barley")], "doc_id long, text string")
+    whole = spark.createDataFrame([(1, "barley wheat barley"), (2, "oats")], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "barley"), (0, "oat")], "qid long, term string")
+    found = []
+    for name, docs in (("halves", halves), ("whole", whole)):
+        index = PostingsIndex(spark, f"file://{tmp_path}/{name}")
+        index.apply(docs)
+        found.append(sorted(map(tuple, index.bm25(asked, 9).collect())))
+    assert found[0] == found[1] and len(found[0]) == 2

@@ -96,3 +96,14 @@ def test_similarities_at_a_half_are_rounded_as_in_sql(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     queries = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0, 0.0])], "qid long, query array<double>")
     assert [(r.vec_id, r.similarity) for r in retrieval.nearest(queries, vectors, 2).orderBy("rank").collect()] == [(1, 0.007813), (2, -0.007813)]
+
+
+def test_names_are_judged_by_class_before_pairs_are_made(spark):
+    """Pairs of files and queries are made last: nothing groups, sorts or joins them."""
+    files = spark.range(300).select(F.concat(F.lit("/c/doc_"), "id", F.lit(".txt")).alias("path"))
+    queries = spark.range(300).select(F.col("id").alias("qid"), F.concat(F.lit("report doc "), "id").alias("query"))
+    found = retrieval.name_leg(queries, files)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(found" in plan and not {"Aggregate", "Join", "Window", "Sort"} & set(plan[: plan.index("explode(found")].split())
+    # a number of three digits or more is a term
+    assert found.count() == 90000 and found.where("share > 0.5").count() == 200
